@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module; the function has the query's name.
 MODULES = {
     "op5_mix": "mixing",
+    "op8_decontaminate": "decontaminate",
+    "op9_token_files": "token_files",
 }
 #: Query name -> module whose ORACLE_SQL is the query's oracle.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_decontaminate": "decontaminate"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
