@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module; the function has the query's name.
 MODULES = {
     "op5_mix": "mixing",
+    "op7_language": "language",
     "op8_decontaminate": "decontaminate",
     "op9_token_files": "token_files",
 }
