@@ -1,23 +1,54 @@
-"""The corpus pipeline: documents in, a tokenised and mixed training set out."""
+"""The corpus pipeline: documents in, a deduplicated, clean and mixed training set out, tokenised.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before
+kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm.common import stored, table
+from gneiss.llm.decontaminate import clean_documents
+from gneiss.llm.language import with_known_language
 from gneiss.llm.mixing import mix_documents
+from gneiss.llm.simhash import one_of_each
+from gneiss.llm.token_files import token_files
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has no letter, or no language that is likelier than the others together, go."""
+    return with_known_language(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more of the words are benchmark passages go."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay as often as their source's target says: not at all, once or twice."""
     return mix_documents(docs)
 
 
-STAGES = [("mixing", mixing)]
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and a row for each document in them."""
+    return token_files(spark, docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
+#: SQL can express neither the tokenizer nor the trained model.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """STAGES applied to documents; each stage's result is written as Parquet and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

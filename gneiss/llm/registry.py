@@ -14,6 +14,7 @@ MODULES = {
     "op7_language": "language",
     "op8_decontaminate": "decontaminate",
     "op9_token_files": "token_files",
+    "op10_simhash": "simhash",
 }
 #: Query name -> module whose ORACLE_SQL is the query's oracle.
 ORACLES: dict[str, str] = {"op8_decontaminate": "decontaminate"}
