@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module; the function has the query's name.
 MODULES = {
     "op2_quality": "quality",
+    "op3_zip_archive": "zip_archive",
     "op5_mix": "mixing",
     "op7_language": "language",
     "op8_decontaminate": "decontaminate",
@@ -17,7 +18,7 @@ MODULES = {
     "op10_simhash": "simhash",
 }
 #: Query name -> module whose ORACLE_SQL is the query's oracle.
-ORACLES: dict[str, str] = {"op8_decontaminate": "decontaminate"}
+ORACLES: dict[str, str] = {"op3_zip_archive": "zip_archive", "op8_decontaminate": "decontaminate"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
