@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_quality": "quality",
     "op3_zip_archive": "zip_archive",
+    "op4_secrets": "secrets",
     "op5_mix": "mixing",
     "op7_language": "language",
     "op8_decontaminate": "decontaminate",
