@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module; the function has the query's name.
 MODULES = {
+    "op1_html": "html",
     "op2_quality": "quality",
     "op3_zip_archive": "zip_archive",
     "op4_secrets": "secrets",
