@@ -14,6 +14,7 @@ MODULES = {
     "op3_zip_archive": "zip_archive",
     "op4_secrets": "secrets",
     "op5_mix": "mixing",
+    "op6_scoring": "scoring",
     "op7_language": "language",
     "op8_decontaminate": "decontaminate",
     "op9_token_files": "token_files",
