@@ -148,12 +148,18 @@ class Page:
         segment(source[at:])
 
     def text(self, template: frozenset[int]) -> str:
-        """The blocks of the slots that the template leaves over, outside of regions for other things."""
+        """The blocks of the slots that the template leaves over, outside of regions for other things.
+
+        A block is template if all its segments are; a block that holds a slot keeps the words around it.
+        """
         blocks: dict[int, list[str]] = {}
+        slots: set[int] = set()
         for token, raw, block, other, inside in self.tokens:
-            if raw is not None and not other and (inside or not self.has_article) and token not in template:
+            if raw is not None and not other and (inside or not self.has_article):
                 blocks.setdefault(block, []).append(raw)
-        return "\n".join(x for x in map(_clean, map("".join, blocks.values())) if x)
+                if token >= 0 and token not in template:
+                    slots.add(block)
+        return "\n".join(x for x in (_clean("".join(raw)) for block, raw in blocks.items() if block in slots) if x)
 
 
 def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[Page]]]:
