@@ -266,3 +266,19 @@ def g2_resolve_names(spark, sf_dir):
 @query("b8_call_adjacency", with_tables("edges", "SELECT source AS node, string_agg(DISTINCT target, ',' ORDER BY target) AS callees FROM edges WHERE relation = 'CALLS' GROUP BY source"))
 def b8_call_adjacency(spark, sf_dir):
     return Tables(spark, sf_dir).edges.where("relation = 'CALLS'").groupBy(F.col("source").alias("node")).agg(S.joined(F.collect_set("target")).alias("callees"))
+
+
+@query("g17_communities")
+def g17_communities(spark, sf_dir):
+    from gneiss.operators.communities import communities
+
+    return communities(G.adjacency(Tables(spark, sf_dir).nation_edges.select(F.col("source").cast("string").alias("source"), "relation", F.col("target").cast("string").alias("target")), ["CALLS"]))
+
+
+@query("st1_snapshot_changes", "SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'deleted' ELSE 'changed' END AS change FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0")
+def st1_snapshot_changes(spark, sf_dir):
+    from gneiss.streaming.changes import snapshot_changes
+
+    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", F.concat(F.lit("f"), "doc_id").alias("path"), F.lit(1).alias("modified_time"))
+    now = docs.where("doc_id % 7 = 0 or doc_id % 11 <> 0").withColumn("modified_time", F.when(F.col("doc_id") % 13 == 0, 2).otherwise(1))
+    return snapshot_changes(docs.where("doc_id % 7 <> 0"), now)

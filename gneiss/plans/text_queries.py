@@ -137,3 +137,46 @@ def b22_phrase_terms(spark, sf_dir):
 @query("b38_snippets", with_tables("files", "SELECT path, array_to_string(list_slice(string_split(text, chr(10)), 2, 6), chr(10)) AS snippet FROM files"))
 def b38_snippets(spark, sf_dir):
     return Tables(spark, sf_dir).files.select("path", F.array_join(F.slice(F.split("text", "\n"), 2, 5), "\n").alias("snippet"))
+
+
+@query("c2_semantic_chunks", with_tables("files recursive", """
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM files WHERE modified_time % 2 = 0),
+e AS (SELECT path, max(i) AS n FROM l GROUP BY path),
+s(path, a) AS (SELECT path, 1::BIGINT FROM e UNION ALL SELECT s.path, (SELECT min(i) FROM l WHERE l.path = s.path AND i - s.a >= 5 AND starts_with(t, 'def ')) FROM s WHERE EXISTS (SELECT 1 FROM l WHERE l.path = s.path AND i - s.a >= 5 AND starts_with(t, 'def ')))
+||select||SELECT path AS file_path, CAST(a AS INT) AS start_line, CAST(coalesce(lead(a) OVER (PARTITION BY path ORDER BY a) - 1, n) AS INT) AS end_line FROM s JOIN e USING (path)"""))
+def c2_semantic_chunks(spark, sf_dir):
+    from gneiss.operators.batching import semantic_chunks
+
+    return semantic_chunks(Tables(spark, sf_dir).files.where("modified_time % 2 = 0"), 5)
+
+
+@query("w10_token_batches")
+def w10_token_batches(spark, sf_dir):
+    from gneiss.operators.batching import token_batches
+
+    rows = Tables(spark, sf_dir).raw("documents").select("source", F.col("doc_id").alias("id"), F.ceil(F.col("n_chars") / 4).alias("tokens"))
+    return token_batches(rows, "source", 24, 12_000)
+
+
+@query("x1_decorator_routes", "SELECT 's' || s_suppkey AS file_path, unnest(['GET', 'POST', 'DELETE']) AS kind, unnest(['/n/' || s_nationkey, '/n/' || s_nationkey, '/d']) AS name, unnest([1, 1, 4]) AS line, unnest(['f', 'f', 'g']) AS detail FROM supplier")
+def x1_decorator_routes(spark, sf_dir):
+    from gneiss.operators.parsers import parsed
+
+    text = F.concat(F.lit('@app.route("/n/'), "s_nationkey", F.lit('", methods=["GET", "POST"])\ndef f():\n    pass\n@app.delete("d")\ndef g(): ...'))
+    return parsed(Tables(spark, sf_dir).raw("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("path"), text.alias("text")), "decorator_routes")
+
+
+@query("p2_typescript_symbols", "SELECT 's' || s_suppkey || '.tsx' AS file_path, unnest(['component', 'interface', 'hook']) AS kind, unnest(['View' || s_nationkey, 'Props', 'useData']) AS name, CAST(unnest([1, 2, 3]) AS INT) AS line, unnest(['default', '', 'exported']) AS detail FROM supplier")
+def p2_typescript_symbols(spark, sf_dir):
+    from gneiss.operators.parsers import parsed
+
+    text = F.concat(F.lit("export default function View"), "s_nationkey", F.lit("() {}\ninterface Props {}\nexport const useData = (a) => a"))
+    return parsed(Tables(spark, sf_dir).raw("supplier").select(F.concat(F.lit("s"), "s_suppkey", F.lit(".tsx")).alias("path"), text.alias("text")), "typescript")
+
+
+@query("p3_c_symbols", "SELECT 's' || s_suppkey || '.h' AS file_path, unnest(['macro', 'struct', 'declaration']) AS kind, unnest(['MAX' || s_nationkey, 'S', 'go']) AS name, CAST(unnest([1, 2, 3]) AS INT) AS line, 'header' AS detail FROM supplier")
+def p3_c_symbols(spark, sf_dir):
+    from gneiss.operators.parsers import parsed
+
+    text = F.concat(F.lit("#define MAX"), "s_nationkey", F.lit(" 3\nstruct S { int a; };\nint go(int a);"))
+    return parsed(Tables(spark, sf_dir).raw("supplier").select(F.concat(F.lit("s"), "s_suppkey", F.lit(".h")).alias("path"), text.alias("text")), "c_family")
