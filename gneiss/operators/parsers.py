@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 _TS = re.compile(r"^[ \t]*(?P<export>export\s+)?(?P<default>default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:(?:async\s+)?(?P<function>function)\s*\*?|(?P<class>class)|(?P<interface>interface)|(?P<type>type)|(?P<enum>enum)|(?P<const>const|let|var))\s+(?P<name>[A-Za-z_$][\w$]*)(?P<rest>[^\n]*)", re.MULTILINE)
 _CS = re.compile(r"^[ \t]*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|async|override|virtual|readonly)\s+)*(?:(?P<kind>class|interface|struct|record|enum|namespace)\s+(?P<type>[A-Za-z_][\w.]*)|[\w<>\[\],.?]+\s+(?P<method>[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:\{|=>|$))", re.MULTILINE)
 _C = re.compile(r"^(?:typedef\s+)?(?P<kind>struct|enum|union|class)\s+(?P<type>[A-Za-z_]\w*)\s*\{|^#define\s+(?P<macro>[A-Za-z_]\w*)|^(?!\s*(?:return|else|if|while|for|switch)\b)[A-Za-z_][\w\s*&:<>]*?[\s*&](?P<function>[A-Za-z_][\w:~]*)\s*\((?P<args>[^;{}()]*)\)\s*(?:const\s*)?(?P<end>[{;])", re.MULTILINE)
-_PAS = re.compile(r"^[ \t]*(?:(?P<unit>unit|program|library)\s+(?P<name>[\w.]+)\s*;|(?P<type>[A-Za-z_]\w*)\s*=\s*(?:packed\s+)?(?P<kind>class|record|interface|object)\b|(?:class\s+)?(?P<routine>procedure|function|constructor|destructor)\s+(?P<own>[\w.]+)|(?P<property>property)\s+(?P<prop>\w+))", re.MULTILINE | re.IGNORECASE)
+_PAS = re.compile(r"^[ \t]*(?:(?P<unit>unit|program|library)\s+(?P<name>[\w.]+)\s*;|(?:type\s+)?(?P<type>[A-Za-z_]\w*)\s*=\s*(?:packed\s+)?(?P<kind>class|record|interface|object)\b|(?:class\s+)?(?P<routine>procedure|function|constructor|destructor)\s+(?P<own>[\w.]+)|(?P<property>property)\s+(?P<prop>\w+))", re.MULTILINE | re.IGNORECASE)
 
 
 def _line(text: str, at: int) -> int:
