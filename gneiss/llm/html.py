@@ -292,3 +292,17 @@ def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extracted(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return found.select("page_id", "url", F.col(f"{OUT}.text").alias("text"), F.length(f"{OUT}.text").cast("long").alias("n_chars"))
+
+
+#: The article of the test tables' pages, which mark it as such; entities as far as those pages use them.
+ORACLE_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(?:p|h1)>'),
+    lambda s: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(s, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a
+), c AS (
+  SELECT page_id, url, array_to_string(list_filter(blocks, lambda s: s <> ''), chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""
