@@ -143,7 +143,7 @@ WITH b AS (
   SELECT DISTINCT item_id, len(g) AS k, array_to_string(g, ' ') AS g FROM (
     SELECT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 13 THEN [w]
       ELSE list_transform(range(1, len(w) - 11), lambda i: list_slice(w, i, i + 12)) END) AS g FROM b)
-), d AS (
+), d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, {_W.format("coalesce(text, '')")} AS w FROM documents
 ), dw AS (
   SELECT r, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g

@@ -33,7 +33,7 @@ RULES = {
     "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0 and n_lines >= 3"),
     "vocabulary": ("n_words between 50 and 2000 and n_distinct < 0.3 * n_words", "n_words between 50 and 2000 and n_distinct > 0.5 * n_words"),
     "word_length": ("word_chars < 2.5 * n_words or word_chars > 11 * n_words", "word_chars between 3.5 * n_words and 6.5 * n_words"),
-    "endings": ("n_ended < 0.3 * n_lines", "n_ended >= 0.8 * n_lines"),
+    "endings": ("n_lines >= 3 and n_ended < 0.3 * n_lines", "n_ended >= 0.8 * n_lines"),
 }
 
 
@@ -117,3 +117,41 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents"), ["doc_id"])
     base = [F.col("__m")[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select("doc_id", *base, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+def _oracle() -> str:
+    """The same measures, rules and rounds of EM as a chain of tables: patterns and rules as rows."""
+    names = list(RULES)
+    vote = lambda bad, good: f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
+    start = ", ".join(f"({j}, {v}, {CLEAN_VOTES[v + 1]}::DOUBLE, {JUNK_VOTES[v + 1]}::DOUBLE)" for j in range(len(names)) for v in (-1, 0, 1))
+    ctes = [
+        "d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)",
+        r"w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x FROM d)",
+        "g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2))",
+        "again AS (SELECT r, g FROM g GROUP BY ALL HAVING count(*) > 1)",
+        "rep AS (SELECT r, count(DISTINCT i + k) AS n FROM g JOIN again USING (r, g), range(0, 3) t(k) GROUP BY r)",
+        r"""m AS MATERIALIZED (SELECT r, doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, coalesce(rep.n, 0) AS n_repeat_words, len(x) AS n_lines, len(x) - len(list_distinct(x)) AS n_dup_lines,
+          len(list_filter(x, lambda y: regexp_matches(y, '[.!?…:"]\s*$'))) AS n_ended, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+          length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals,
+          length(text) - length(replace(text, '!', '')) AS n_exclamations FROM d JOIN w USING (r) LEFT JOIN rep USING (r))""",
+        f"v AS MATERIALIZED (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, [{', '.join(vote(*RULES[x]) for x in names)}] AS votes FROM m)",
+        "p AS MATERIALIZED (SELECT votes, count(*) FILTER (WHERE NOT base_failed) AS n FROM v GROUP BY votes)",
+        f"u AS MATERIALIZED (SELECT votes, n, j, votes[j + 1] AS k FROM p, range(0, {len(names)}) t(j))",
+        "size AS (SELECT greatest(sum(n), 1)::DOUBLE AS m FROM p)",
+        f"s0 AS MATERIALIZED (SELECT * FROM (VALUES {start}) AS t(j, k, c, b))", "c0 AS (SELECT 0.8::DOUBLE AS clean)",
+    ]
+    posterior = lambda i: f"SELECT votes, any_value(n) AS n, 1 / (1 + exp(-(any_value(ln(clean / (1 - clean))) + sum(CASE WHEN k = 0 THEN 0 ELSE ln(c / b) END)))) AS q FROM u JOIN s{i} USING (j, k), c{i} GROUP BY votes"
+    for i in range(ROUNDS):
+        ctes += [
+            f"q{i} AS MATERIALIZED ({posterior(i)})",
+            f"""s{i + 1} AS MATERIALIZED (SELECT z.j, z.k, least(CASE WHEN z.k = -1 THEN {MOST_FALSE_ALARMS} ELSE 1 END, (coalesce(any_value(a.c), 0) + {STRENGTH} * any_value(m) * any_value(z.c)) / (any_value(t.c) + {STRENGTH} * any_value(m))) AS c,
+              (coalesce(any_value(a.b), 0) + {STRENGTH} * any_value(m) * any_value(z.b)) / (any_value(t.b) + {STRENGTH} * any_value(m)) AS b
+              FROM s0 AS z LEFT JOIN (SELECT j, k, sum(u.n * q) AS c, sum(u.n * (1 - q)) AS b FROM u JOIN q{i} USING (votes) GROUP BY j, k) AS a ON a.j = z.j AND a.k = z.k, (SELECT sum(n * q) AS c, sum(n * (1 - q)) AS b FROM q{i}) AS t, size GROUP BY z.j, z.k)""",
+            f"c{i + 1} AS MATERIALIZED (SELECT (sum(n * q) + {STRENGTH} * any_value(m)) / (any_value(m) + 2 * {STRENGTH} * any_value(m)) AS clean FROM q{i}, size)",
+        ]
+    ctes.append(f"last AS MATERIALIZED ({posterior(ROUNDS)})")
+    base = ", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return f"WITH {', '.join(ctes)} SELECT doc_id, {base}, base_failed, NOT base_failed AND q >= 0.5 AS kept FROM v JOIN last USING (votes)"
+
+
+ORACLE_SQL = _oracle()

@@ -21,7 +21,7 @@ MODULES = {
     "op10_simhash": "simhash",
 }
 #: Query name -> module whose ORACLE_SQL is the query's oracle.
-ORACLES: dict[str, str] = {"op1_html": "html", "op3_zip_archive": "zip_archive", "op8_decontaminate": "decontaminate"}
+ORACLES: dict[str, str] = {"op1_html": "html", "op2_quality": "quality", "op3_zip_archive": "zip_archive", "op8_decontaminate": "decontaminate"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
