@@ -11,6 +11,7 @@ LANGUAGES = {
     "pas": "pascal", "dfm": "pascal", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "sql": "sql", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "sh": "shell",
 }
 FILE_NAMES = {"dockerfile": "docker", "makefile": "make", "cmakelists.txt": "cmake"}
+#: Parts of a path that mark a test. Fixed values.
 TEST_MARKERS = ("/test/", "/tests/", "/__tests__/", "/spec/", "test_", "_test.", ".test.", ".spec.", "tests.")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import scalar as S
 
+#: What an edge of a relation carries over, and the relations that act at run time. Fixed values.
 WEIGHTS = {
     "CALLS": 1.0, "FETCHES": 0.9, "INCLUDES": 0.8, "EXTENDS": 0.8, "USES_SERVICE": 0.8, "IMPLEMENTS": 0.75, "INJECTS": 0.75, "METHOD_OVERRIDES": 0.7,
     "METHOD_IMPLEMENTS": 0.65, "READS_FIELD": 0.55, "HAS_PROPERTY": 0.45, "HAS_METHOD": 0.4, "REFERENCES": 0.35, "ACCESSES": 0.35, "IMPORTS": 0.18,

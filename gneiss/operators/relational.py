@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from gneiss.functions import scalar as S
 
 
+#: Parts of a name, and kinds, that something outside calls. Fixed values.
+ENTRY_NAMES = "main|exports|__init__|index|app|server|run|start|setup|create_app|handler|cli"
+ENTRY_KINDS = ("module", "exports", "entry_point", "test_file")
+
+
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows in a total order (a distributed top-k, never a global sort)."""
     return df.orderBy(*order).limit(k)
@@ -106,7 +111,7 @@ def neighbour_chunks(seeds: DataFrame, chunks: DataFrame, reach: int, k: int) ->
 def dead_symbols(symbols: DataFrame, edges: DataFrame, relations: Sequence[str]) -> DataFrame:
     """Symbols that no edge of the relations points to, entry points and tests apart."""
     used = edges.where(F.col("relation").isin(*relations)).select(F.col("target").alias("qualified_name"))
-    entry = F.lower(S.tail(F.col("qualified_name"))).rlike("main|exports|__init__|index|app|server|run|start|setup|create_app|handler|cli") | F.col("kind").isin("module", "exports", "entry_point", "test_file")
+    entry = F.lower(S.tail(F.col("qualified_name"))).rlike(ENTRY_NAMES) | F.col("kind").isin(*ENTRY_KINDS)
     return without(symbols, used, "qualified_name").where(~entry & ~S.is_test_path(F.col("file_path")))
 
 

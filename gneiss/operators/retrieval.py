@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import scalar as S
 from gneiss.operators.relational import best_per_key, top
 
+#: What a search of a kind adds to a candidate. Fixed values.
 SOURCE_SCORES = {"symbol": 0.34, "regex": 0.24, "graph": 0.22, "vector": 0.18, "chunk": 0.18}
 
 

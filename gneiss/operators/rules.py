@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import scalar as S
-from gneiss.operators.relational import best_per_key
+from gneiss.operators.relational import ENTRY_KINDS, ENTRY_NAMES, best_per_key
 
+#: What a neighbour by a relation adds, at distance one. Fixed values.
 GRAPH_BOOSTS = {
     "CALLS": 0.22, "FETCHES": 0.2, "REFERENCES": 0.16, "INCLUDES": 0.16, "READS_FIELD": 0.14, "EXTENDS": 0.14, "IMPLEMENTS": 0.13, "IMPORTS": 0.12, "METHOD_OVERRIDES": 0.12,
     "METHOD_IMPLEMENTS": 0.11, "ACCESSES": 0.1, "DECLARES": 0.1, "HAS_METHOD": 0.09, "HAS_PROPERTY": 0.09, "ASSOCIATED_WITH": 0.08,
@@ -33,7 +34,7 @@ def file_kind(path: Column) -> Column:
 
 
 def is_entry_point(qualified_name: Column, kind: Column) -> Column:
-    return kind.isin("module", "exports", "entry_point", "test_file") | F.lower(S.tail(qualified_name)).rlike("main|exports|__init__|index|app|server|run|start|setup|create_app|handler|cli")
+    return kind.isin(*ENTRY_KINDS) | F.lower(S.tail(qualified_name)).rlike(ENTRY_NAMES)
 
 
 def graph_boost(relation: Column, distance: Column) -> Column:
