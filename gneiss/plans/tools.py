@@ -10,7 +10,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators import change, communities, graph, parsers, relational, reports, retrieval, text
+from gneiss.operators import change, communities, graph, parsers, relational, reports, retrieval, rules, text
+from gneiss.plans import indexing
+from gneiss.sources import files as sources
+from gneiss.streaming import changes
 
 MOST_BYTES, MOST_ROWS = 256_000, 50
 
@@ -56,7 +59,8 @@ for _name, _run in {
     "detect_changes": reports.detect_changes, "change_impact_report": reports.change_impact_report, "suggest_tests_for_change": reports.suggest_tests, "test_impact": reports.suggest_tests, "diff_context": reports.diff_context,
     "explain_error": reports.explain_error, "get_symbol_context": reports.symbol_context, "get_file_summary": reports.file_summary, "index_health": reports.index_health, "check_stale_index": change.stale_files,
     "route_map": text.route_map, "api_impact": reports.api_impact, "shape_check": change.missing_keys, "field_impact": reports.field_impact, "preview_rename": text.rename_preview, "get_review_history": relational.merge_findings,
-    "parse_files": parsers.parsed,
+    "parse_files": parsers.parsed, "index_status": indexing.status, "get_recent_runs": indexing.recent_runs, "list_repos": sources.scan_repository, "group_list": indexing.Groups.members, "group_query": indexing.Groups.read,
+    "group_sync": indexing.Groups.unified_graph, "realtime_indexing_status": changes.snapshot_changes, "find_tests_for_target": rules.convention_tests, "get_source_context": relational.neighbour_chunks, "get_file_dependencies": relational.shared_members,
 }.items():
     tool(_name, _run)
 
