@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,3 +97,22 @@ def intents(questions: DataFrame, sets: dict[str, Sequence[str]]) -> DataFrame:
 def first_per_file(candidates: DataFrame) -> DataFrame:
     """Test candidates (file_path, score, reason): the best reason of each file."""
     return best_per_key(candidates, ["file_path"], [F.desc("score"), F.asc("reason")])
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity of two strings; null counts as empty. Batched, as no built-in function has it."""
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def symbol_relevance(name: Column, kind: Column, query: str) -> Column:
+    """Equal names 1, contained .72, a prefix .24 more, .35 of the matching ratio, shared tokens, callable kinds .05."""
+    low, wanted = F.lower(name), F.lit(query.lower())
+    match = F.when(low == wanted, 1.0).when(F.contains(low, wanted), 0.72).otherwise(0.0)
+    tokens = overlap_score(S.tokens(name), F.array(*[F.lit(x) for x in query.lower().split()]))
+    return F.round(match + F.when(F.startswith(low, wanted), 0.24).otherwise(0.0) + 0.35 * matching_ratio(low, wanted) + tokens + F.when(kind.isin("function", "method", "class"), 0.05).otherwise(0.0), 4)

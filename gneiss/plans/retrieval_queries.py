@@ -131,3 +131,11 @@ def a17_source_counts(spark, sf_dir):
 def a20_embed_accounting(spark, sf_dir):
     files = Tables(spark, sf_dir).files.withColumnRenamed("sha256", "content_hash")
     return V.embed_plan(files, files.where("modified_time % 3 = 0"), 24)
+
+
+@query("r7_symbol_relevance")
+def r7_symbol_relevance(spark, sf_dir):
+    """Parts by relevance for a name; the ratio by matching blocks has no SQL form."""
+    parts = Tables(spark, sf_dir).symbols.where("kind = 'part'")
+    scored = parts.select("qualified_name", "name", V.symbol_relevance(F.col("name"), F.col("kind"), "red widget").alias("score"))
+    return R.top(scored, [F.desc("score"), F.asc("qualified_name")], 50)

@@ -163,3 +163,14 @@ def test_debounced_stream(spark, tmp_path):
     query = changes.run_incrementally(bursts, lambda df, _: seen.extend(df.collect()), f"file://{tmp_path}/ck")
     query.awaitTermination(120)
     assert [(x.paths, x.changes) for x in sorted(seen, key=lambda x: x.first_ts)] == [(["a.py", "b.py"], 3), (["c.py"], 1)]
+
+
+def test_symbol_relevance_against_difflib(spark):
+    from difflib import SequenceMatcher
+
+    names = ["red widget", "Red Widgets", "blue bolt", "", None]
+    df = spark.createDataFrame([(x, "part") for x in names], "name string, kind string")
+    got = {x.name: x.r for x in df.select("name", retrieval.matching_ratio(F.lower("name"), F.lit("red widget")).alias("r")).collect()}
+    assert got == {x: SequenceMatcher(None, (x or "").lower(), "red widget").ratio() for x in names}
+    scores = {x.name: x.s for x in df.select("name", retrieval.symbol_relevance(F.col("name"), F.col("kind"), "red widget").alias("s")).collect()}
+    assert scores["red widget"] == 1.83 and scores["red widget"] > scores["Red Widgets"] > scores["blue bolt"]
