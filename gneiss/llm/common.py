@@ -65,6 +65,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of the largest n, at most ``most`` of them: those from a bound on that a small histogram gives.
+
+    The histogram has 16 steps for each doubling of n, hence some hundred rows
+    for any corpus. Rows of the step that would pass the limit stay out, so that
+    the result doesn't depend on ties, and no task sends more than its share.
+    """
+    step = F.floor(F.log2(F.col(n)) * 16)
+    total, bound = 0, None
+    for x in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect():
+        total += x.rows
+        if total > most:
+            break
+        bound = x.step
+    return counts.where(step >= bound) if bound is not None else counts.limit(0)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if rows of row_bytes stay below the bound; else df as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.arrow import OUT, annotated
-from gneiss.llm.common import stored, table
+from gneiss.llm.common import most_frequent, stored, table
 
 #: Training documents of each language at most (those with the lowest hashes), entries of the word table, entries for each n-gram length.
 DOCS_PER_LANGUAGE, WORDS, GRAMS, LONGEST = 4_000, 100_000, 40_000, 5
@@ -133,8 +133,8 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     grams = stored(grams, "language-grams")
 
     def top(rows: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-        best = rows.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("n"), key).limit(most)
-        return {x[key]: x["by"] for x in best.select(key, "by").collect()}
+        every = rows.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        return {x[key]: x["by"] for x in most_frequent(every, most).select(key, "by").collect()}
 
     return Model(list(share), top(counts.where("n > 1"), "word", WORDS), [top(grams.where(F.col("k") == k), "key", GRAMS) for k in range(1, LONGEST + 1)])
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.arrow import OUT, annotated
-from gneiss.llm.common import table
+from gneiss.llm.common import most_frequent, stored, table
 from gneiss.llm.language import word_counts
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -137,8 +137,9 @@ def secrets(docs: DataFrame, keep: list[str], words: int = WORDS, least_cost: fl
     """
     spark = docs.sparkSession
     counts = word_counts(docs.select("text", F.lit("").alias("lang")))
-    frequent = counts.where("n > 1 and length(word) between 3 and 24").orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    order = spark.sparkContext.broadcast(ranks([x.word for x in frequent]))
+    known = stored(counts.where("n > 1 and length(word) between 3 and 24"), "words")
+    frequent = most_frequent(known, words).collect()  # of a bounded size
+    order = spark.sparkContext.broadcast(ranks([x.word for x in sorted(frequent, key=lambda x: (-x.n, x.word))]))
 
     def start() -> Callable:
         return lambda texts: ((scan(x, order.value, least_cost),) for x in texts)
