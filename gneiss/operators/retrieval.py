@@ -16,6 +16,10 @@ from gneiss.operators.relational import best_per_key, top
 SOURCE_SCORES = {"symbol": 0.34, "regex": 0.24, "graph": 0.22, "vector": 0.18, "chunk": 0.18}
 
 
+#: Queries that are sent to all tasks at once.
+QUERIES_AT_ONCE = 10_000
+
+
 def fuse(frames: Sequence[DataFrame]) -> DataFrame:
     """Candidates (id, file_path, base, source) of several searches as one row for each id: best base, all sources."""
     every = reduce(DataFrame.unionByName, frames)
@@ -52,13 +56,21 @@ def final_score(fused: DataFrame, query: str, content: str | None = None) -> Dat
 def knn(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, rounding: int = 6) -> DataFrame:
     """(id, vector) queries against all of base: the k nearest by cosine, in blocks of a stated query set.
 
-    The queries are few and known beforehand; they are packed into one array
-    that is sent with the scan of base, and each task keeps its own best k.
+    A block of queries is packed into one array that is sent with the scan of
+    base, and each task keeps its own best k. A block holds about
+    QUERIES_AT_ONCE queries, so that what is sent is bounded; more queries take
+    more scans.
     """
-    packed = queries.agg(F.collect_list(F.struct(F.col("id").alias("qid"), F.col("vector").alias("qv"))).alias("qs"))
-    pairs = base.join(F.broadcast(packed)).select("id", F.explode("qs").alias("q"), "vector").where("q.qid <> id")
-    scored = pairs.select(F.col("q.qid").alias("query_id"), "id", F.round(S.cosine(F.col("q.qv"), F.col("vector")), rounding).alias("similarity")).where(F.col("similarity") >= least)
-    return best_per_key(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+
+    def block(number: int) -> DataFrame:
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
+        packed = some.agg(F.collect_list(F.struct(F.col("id").alias("qid"), F.col("vector").alias("qv"))).alias("qs"))
+        pairs = base.join(F.broadcast(packed)).select("id", F.explode("qs").alias("q"), "vector").where("q.qid <> id")
+        scored = pairs.select(F.col("q.qid").alias("query_id"), "id", F.round(S.cosine(F.col("q.qv"), F.col("vector")), rounding).alias("similarity"))
+        return best_per_key(scored.where(F.col("similarity") >= least), ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+
+    return reduce(DataFrame.unionByName, map(block, range(blocks)))
 
 
 def hash_vector(text: Column) -> Column:

@@ -68,7 +68,9 @@ def convention_tests(files: DataFrame) -> DataFrame:
 
 def resolve_includes(includes: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
     """(file_path, name), (position, root) in order and (path) -> file_path, name, path: the first root that has it."""
-    tried = includes.join(F.broadcast(roots.limit(1000))).withColumn("path", F.concat_ws("/", "root", "name"))
+    listed = roots.agg(F.collect_list(F.struct("position", "root")).alias("roots"))  # a build's include path: one short list
+    tried = includes.join(F.broadcast(listed)).select("file_path", "name", F.explode("roots").alias("r"))
+    tried = tried.select("file_path", "name", "r.position", F.concat_ws("/", "r.root", "name").alias("path"))
     return best_per_key(tried.join(files.select("path"), "path", "left_semi"), ["file_path", "name"], [F.asc("position")]).select("file_path", "name", "path")
 
 

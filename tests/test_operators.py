@@ -174,3 +174,10 @@ def test_symbol_relevance_against_difflib(spark):
     assert got == {x: SequenceMatcher(None, (x or "").lower(), "red widget").ratio() for x in names}
     scores = {x.name: x.s for x in df.select("name", retrieval.symbol_relevance(F.col("name"), F.col("kind"), "red widget").alias("s")).collect()}
     assert scores["red widget"] == 1.83 and scores["red widget"] > scores["Red Widgets"] > scores["blue bolt"]
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    base = spark.createDataFrame([(i, [float(i % 7) + 0.1, float(i % 5), float(i % 3)]) for i in range(40)], "id long, vector array<double>")
+    whole = sorted(map(tuple, retrieval.knn(base.where("id % 4 = 0"), base, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 3)
+    assert sorted(map(tuple, retrieval.knn(base.where("id % 4 = 0"), base, 3).collect())) == whole and len(whole) == 30
