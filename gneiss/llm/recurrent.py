@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 HIDDEN, CLASSES, WINDOW = 24, 32, 32
-RATE, CLIP = 0.08, 5.0
+RATE, CLIP = 0.1, 5.0
 #: Ids of the end of a document (also what stands before its first word) and of words outside of the vocabulary.
 END, TAIL = 0, 1
 
@@ -145,16 +145,15 @@ class Network:
     def _windows(docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """ids, targets and mask of window after window; the first so many documents, longest first, are still on."""
         lengths = np.array([len(d) for d in docs])
+        flat = np.concatenate([[END], *docs]) if docs else np.zeros(1, int)
+        starts = np.cumsum(lengths) - lengths + 1
         for at in range(0, int(lengths.max(initial=0)), WINDOW):
             on = int((lengths > at).sum())
             steps = min(WINDOW, int(lengths[0]) - at)
-            targets = np.zeros((steps, on), int)
-            ids = np.zeros((steps, on), int)
-            for k in range(on):
-                part = docs[k][at : at + steps]
-                targets[: len(part), k] = part
-                ids[1 : len(part), k] = part[: len(part) - 1] if len(part) < steps else part[:-1]
-                ids[0, k] = docs[k][at - 1] if at else END
+            places = np.minimum(starts[:on] + at + np.arange(steps)[:, None], len(flat) - 1)
+            targets, ids = flat[places], flat[places - 1]
+            if not at:
+                ids[0] = END
             yield ids, targets, np.arange(at, at + steps)[:, None] < lengths[None, :on], on
 
     def train(self, docs: list[np.ndarray]) -> None:

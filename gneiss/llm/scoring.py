@@ -22,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import stored, table
+from gneiss.llm.common import most_frequent, stored, table
 from gneiss.llm.recurrent import END, TAIL, Network
 
 #: Words that executors know by heart, and those of them that the network tells apart.
 HEAD, NEURAL = 150_000, 1_000
 #: Share of the training documents that train the network, in so many rounds, by at most so many trainers; documents of a batch.
-TRAIN_SHARE, ROUNDS, TRAINERS, BATCH = 1 / 8, 2, 64, 48
+TRAIN_SHARE, ROUNDS, TRAINERS, BATCH = 1 / 8, 2, 64, 96
 #: Documents scored together; distinct words that a task counts before it hands them on.
 TOGETHER, _FLUSH = 2048, 300_000
 #: The end of a document among words; no word is empty.
@@ -85,9 +85,10 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("n"), "token").limit(HEAD).collect()  # of a fixed size
+    head = most_frequent(counts, HEAD).collect()  # of a bounded size
     end = counts.where("token = ''").collect()
-    return Vocabulary([(x.token, x.n) for x in {x.token: x for x in [*head, *end]}.values()], total or 0, distinct)
+    ranked = sorted({x.token: x.n for x in [*head, *end]}.items(), key=lambda x: (-x[1], x[0]))
+    return Vocabulary(ranked, total or 0, distinct)
 
 
 def trained(docs: DataFrame, words: Vocabulary) -> bytes:
