@@ -3,11 +3,12 @@
 The pages of a host share a template. Each page is a sequence of tokens: tags
 and whole text segments, told apart by the path of structural elements around
 them. Tokens with the same occurrence vector (how often they occur in each of
-the host's pages) form an equivalence class. A class is valid if its tokens
-come in the same order, cycle after cycle, on every page; valid classes nest in
-the gaps of the root class, whose tokens occur once on each page. The nested
-classes are the template; what they leave over are slots. The article is the
-text of the slots that don't lie in a region for other things.
+the host's pages) and, but for the root class, the same path form an
+equivalence class. A class is valid if its tokens come in the same order, cycle
+after cycle, on every page; valid classes nest in the same gaps of the root
+class, whose tokens occur once on each page. The root and the nested classes
+are the template; what they leave over are slots. The article is the text of
+the slots that don't lie in a region for other things.
 
 An occurrence vector never is materialised: its fingerprint is a sum over pages
 of a hash of page and count, so that a host of any size is aggregated like any
@@ -84,13 +85,13 @@ def _clean(text: str) -> str:
 class Page:
     """A page's tokens in order, with what is needed to put its slots together.
 
-    tokens: (token, text or None, block, other, inside): the block that a
-    segment belongs to, whether it lies in a region for other things, and
-    whether within an article element.
+    tokens: (token, text or None, block, other, inside, path): the block that a
+    segment belongs to, whether it lies in a region for other things, whether
+    within an article element, and the path around it.
     """
 
     def __init__(self, source: str | None):
-        self.tokens: list[tuple[int, str | None, int, bool, bool]] = []
+        self.tokens: list[tuple[int, str | None, int, bool, bool, int]] = []
         self.has_article = False
         source, block, at = source or "", 0, 0
         # Open elements: name, path hash, other, inside.
@@ -99,9 +100,9 @@ class Page:
         def segment(raw: str) -> None:
             if raw and not raw.isspace():
                 _, path, other, inside = stack[-1]
-                self.tokens.append((xxhash.xxh64_intdigest(_clean(raw), path) >> 1, raw, block, other, inside))
+                self.tokens.append((xxhash.xxh64_intdigest(_clean(raw), path) >> 1, raw, block, other, inside, path >> 1))
             elif raw:
-                self.tokens.append((-1, raw, block, *stack[-1][2:]))
+                self.tokens.append((-1, raw, block, *stack[-1][2:], 0))
 
         def pop(k: int) -> None:
             del stack[k:]
@@ -118,7 +119,7 @@ class Page:
                 if k:
                     _, path, other, inside = stack[k]
                     pop(k)
-                    self.tokens.append((xxhash.xxh64_intdigest("/" + name, path) >> 1, None, block, other, inside))
+                    self.tokens.append((xxhash.xxh64_intdigest("/" + name, path) >> 1, None, block, other, inside, path >> 1))
             else:
                 if name in CLOSES:
                     for i in range(len(stack) - 1, 0, -1):
@@ -138,13 +139,13 @@ class Page:
                 within = inside or name in ARTICLE
                 other = other or _is_other(name, m["attrs"], inside)
                 self.has_article |= within and not other
-                self.tokens.append((xxhash.xxh64_intdigest("<" + name, path) >> 1, None, block, other, within))
+                self.tokens.append((xxhash.xxh64_intdigest("<" + name, path) >> 1, None, block, other, within, path >> 1))
                 if name not in VOID:
                     stack.append((name, own, other, within))
             if name in BLOCKS:
                 block += 1
             elif name == "br":
-                self.tokens.append((-1, " ", block, *stack[-1][2:]))
+                self.tokens.append((-1, " ", block, *stack[-1][2:], 0))
         segment(source[at:])
 
     def text(self, template: frozenset[int]) -> str:
@@ -154,7 +155,7 @@ class Page:
         """
         blocks: dict[int, list[str]] = {}
         slots: set[int] = set()
-        for token, raw, block, other, inside in self.tokens:
+        for token, raw, block, other, inside, _ in self.tokens:
             if raw is not None and not other and (inside or not self.has_article):
                 blocks.setdefault(block, []).append(raw)
                 if token >= 0 and token not in template:
@@ -170,24 +171,26 @@ def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[Page]
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, id, html) -> for each host and token: in how many pages it occurs, and its vector's fingerprint (lo, hi)."""
+    """(host, id, html) -> for each host and token: in how many pages it occurs, and its vector's fingerprint (lo, hi), and its path."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (hosts, ids, _), parsed in _pages(batches):
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for host, page_id, page in zip(hosts, ids, parsed, strict=True):
                 times: dict[int, int] = {PAGE: 1}
-                for token, *_ in page.tokens:
+                paths = {PAGE: 0}
+                for token, *_, path in page.tokens:
                     if token >= 0:
                         times[token] = times.get(token, 0) + 1
+                        paths[token] = path
                 for token, n in times.items():
                     print_ = xxhash.xxh64_intdigest(f"{page_id} {n}")
-                    for x, y in zip(out, (host, token, print_ & 0xFFFFFFFF, print_ >> 32), strict=True):
+                    for x, y in zip(out, (host, token, print_ & 0xFFFFFFFF, print_ >> 32, paths[token]), strict=True):
                         x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["host", "token", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["host", "token", "lo", "hi", "path"])
 
-    rows = pages.mapInArrow(count, "host string, token long, lo long, hi long")
-    return rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi")).where(f"n >= {LEAST_PAGES}")
+    rows = pages.mapInArrow(count, "host string, token long, lo long, hi long, path long")
+    return rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.max("path").alias("path")).where(f"n >= {LEAST_PAGES}")
 
 
 def classes(pages: DataFrame) -> DataFrame:
@@ -197,9 +200,10 @@ def classes(pages: DataFrame) -> DataFrame:
     has no more tokens than two of its mean pages.
     """
     found = stored(occurrences(pages), "occurrences")
-    hosts = found.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages"))
-    often = found.join(hosts, "host").where("2 * n >= pages")
-    grouped = often.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("token", F.xxhash64("n", "lo", "hi").alias("of")))).alias("template"))
+    vector = F.xxhash64("n", "lo", "hi")
+    hosts = found.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages"), vector.alias("root"))
+    often = found.join(hosts, "host").where("2 * n >= pages").withColumn("of", F.when(vector == F.col("root"), vector).otherwise(F.xxhash64("n", "lo", "hi", "path")))
+    grouped = often.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("token", "of"))).alias("template"))
     return stored(grouped, "classes")
 
 
@@ -210,7 +214,7 @@ def _with_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def _checked(page: Page, template: list[dict]) -> list[tuple[int, int, int]]:
-    """(class, hash of the order of its tokens or -1, gap of the root class or -1) for the classes on a page."""
+    """(class, hash of the order of its tokens or -1, hash of the gaps of the root class it is in) for the classes on a page."""
     of = {x["token"]: x["of"] for x in template}
     root, gap = of.get(PAGE), 0
     seen: dict[int, list[int]] = {}
@@ -226,12 +230,12 @@ def _checked(page: Page, template: list[dict]) -> list[tuple[int, int, int]]:
         cycle = sequence[: len(set(sequence))]
         regular = len(set(cycle)) == len(cycle) and len(sequence) % len(cycle) == 0 and cycle * (len(sequence) // len(cycle)) == sequence
         order = xxhash.xxh64_intdigest(repr(cycle)) >> 1 if regular else -1
-        out.append((c, order, 0 if c == root else min(gaps[c]) if len(gaps[c]) == 1 else -1))
+        out.append((c, order, 0 if c == root else xxhash.xxh64_intdigest(repr(sorted(gaps[c]))) >> 1))
     return out
 
 
 def valid_classes(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(host, id, html) and classes -> (host, of) for the classes that are ordered and nest in one gap of the root on every page."""
+    """(host, id, html) and classes -> (host, of) for the classes that are ordered and nest in the same gaps of the root on every page that has them."""
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (hosts, templates, _), parsed in _pages(batches):
@@ -241,7 +245,7 @@ def valid_classes(pages: DataFrame, found: DataFrame) -> DataFrame:
 
     rows = _with_template(pages, found).select("host", "template", "html").mapInArrow(check, "host string, of long, ord long, gap long")
     rows = rows.groupBy("host", "of").agg(*[f(c).alias(f"{n}_{c}") for c in ("ord", "gap") for n, f in (("min", F.min), ("max", F.max))])
-    return rows.where("min_ord >= 0 and min_ord = max_ord and min_gap >= 0 and min_gap = max_gap").select("host", "of")
+    return rows.where("min_ord >= 0 and min_ord = max_ord and min_gap = max_gap").select("host", "of")
 
 
 def templates_of(pages: DataFrame) -> DataFrame:
@@ -258,9 +262,9 @@ def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of pages and a struct OUT with text.
 
     Null html is an empty page. Pages without a host, and hosts of fewer than
-    LEAST_PAGES pages, have no template: all their text is slots. Segments that
-    all pages of a host share are template from LEAST_TEXT_PAGES pages on;
-    below, equal articles could pass for one. Repeated rows count as often as
+    LEAST_PAGES pages, have no template: all their text is slots. Segments of
+    the host's valid classes, root and nested, are template from
+    LEAST_TEXT_PAGES pages on; below, equal articles could pass for one. Repeated rows count as often as
     they occur, which changes no class.
     """
     own = [f"__{i}" for i in range(len(keep))]
@@ -281,7 +285,7 @@ def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
                 texts = []
                 for host, n, template, source in zip(hosts, counts, templates_, sources, strict=True):
                     if host not in made:
-                        made[host] = frozenset(x["token"] for x in template or () if x["is_root"] and n >= LEAST_TEXT_PAGES)
+                        made[host] = frozenset(x["token"] for x in template or () if n >= LEAST_TEXT_PAGES)
                     texts.append({"text": Page(source).text(made[host])})
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(target.field(c).type) for c in own), pa.array(texts, target.field(OUT).type)], schema=target)
 

@@ -48,6 +48,22 @@ def test_classes_are_valid(spark, pages):
     assert html.PAGE in roots and len(roots) == 2
 
 
+def plain(k):
+    """A page whose boilerplate no tag, role or class name tells."""
+    some = "<div>Members read this free of charge</div>" if k % 3 else ""
+    return f"<div>The Daily Example</div><div><span>Share</span></div><p>own {k} text</p><p>more of {k}</p>{some}<div><span>Share</span></div>"
+
+
+def texts_of(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {x.page_id: x.text for x in html.extracted(pages, ["page_id"]).select("page_id", f"{arrow.OUT}.text").collect()}
+
+
+def test_nested_classes_are_template(spark):
+    got = texts_of(spark, [(k, f"http://plain.example/{k}", plain(k)) for k in range(30)])
+    assert got == {k: f"own {k} text\nmore of {k}" for k in range(30)}
+
+
 ROWS = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, "http://a/3", "same"), (2, None, None), (4, "", ""), (6, "http://ä/ b", "ünïcode\r\n\r\nx"), (None, "u", "same"), (5, "http://a/5", "same"), (7, "z", "y" * 100_000)]
 
 
