@@ -5,9 +5,10 @@ and whole text segments, told apart by the path of structural elements around
 them. Tokens with the same occurrence vector (how often they occur in each of
 the host's pages) and, but for the root class, the same path form an
 equivalence class. A class is valid if its tokens come in the same order, cycle
-after cycle, on every page; valid classes nest in the same gaps of the root
-class, whose tokens occur once on each page. The root and the nested classes
-are the template; what they leave over are slots. The article is the text of
+after cycle, on nearly every page that has them; valid classes nest in the same
+gaps of the root classes, whose tokens occur once on nearly each page. Pages
+without tokens don't count. The root and the nested classes are the template;
+what they leave over are slots. The article is the text of
 the slots that don't lie in a region for other things.
 
 An occurrence vector never is materialised: its fingerprint is a sum over pages
@@ -32,6 +33,8 @@ from gneiss.llm.common import small, stored, table
 
 #: Pages that a host has at least for a template, and for segments that all of them share to count as its text.
 LEAST_PAGES, LEAST_TEXT_PAGES = 3, 10
+#: Share of a host's pages that a root token is on once, and of a class's pages that agree on its order and gaps.
+NEARLY = 0.9
 #: The token that each page has once: its vector is that of the root class.
 PAGE = 0
 
@@ -171,11 +174,14 @@ def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[Page]
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, id, html) -> for each host and token: in how many pages it occurs, and its vector's fingerprint (lo, hi), and its path."""
+    """(host, id, html) -> for each host and token: in how many pages it occurs, and its vector's fingerprint (lo, hi), its path, and in how many pages it occurs once.
+
+    Pages without tokens don't count.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (hosts, ids, _), parsed in _pages(batches):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for host, page_id, page in zip(hosts, ids, parsed, strict=True):
                 times: dict[int, int] = {PAGE: 1}
                 paths = {PAGE: 0}
@@ -183,14 +189,17 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     if token >= 0:
                         times[token] = times.get(token, 0) + 1
                         paths[token] = path
+                if len(times) == 1:
+                    continue
                 for token, n in times.items():
                     print_ = xxhash.xxh64_intdigest(f"{page_id} {n}")
-                    for x, y in zip(out, (host, token, print_ & 0xFFFFFFFF, print_ >> 32, paths[token]), strict=True):
+                    for x, y in zip(out, (host, token, print_ & 0xFFFFFFFF, print_ >> 32, paths[token], int(n == 1)), strict=True):
                         x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["host", "token", "lo", "hi", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["host", "token", "lo", "hi", "path", "once"])
 
-    rows = pages.mapInArrow(count, "host string, token long, lo long, hi long, path long")
-    return rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.max("path").alias("path")).where(f"n >= {LEAST_PAGES}")
+    rows = pages.mapInArrow(count, "host string, token long, lo long, hi long, path long, once long")
+    sums = [F.sum(c).alias(c) for c in ("lo", "hi", "once")]
+    return rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n"), *sums, F.max("path").alias("path")).where(f"n >= {LEAST_PAGES}")
 
 
 def classes(pages: DataFrame) -> DataFrame:
@@ -201,9 +210,10 @@ def classes(pages: DataFrame) -> DataFrame:
     """
     found = stored(occurrences(pages), "occurrences")
     vector = F.xxhash64("n", "lo", "hi")
-    hosts = found.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages"), vector.alias("root"))
-    often = found.join(hosts, "host").where("2 * n >= pages").withColumn("of", F.when(vector == F.col("root"), vector).otherwise(F.xxhash64("n", "lo", "hi", "path")))
-    grouped = often.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("token", "of"))).alias("template"))
+    hosts = found.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages"))
+    often = found.join(hosts, "host").where("2 * n >= pages").withColumn("is_root", F.col("once") >= NEARLY * F.col("pages"))
+    often = often.withColumn("of", F.when(F.col("is_root"), vector).otherwise(F.xxhash64("n", "lo", "hi", "path")))
+    grouped = often.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("token", "of", "is_root"))).alias("template"))
     return stored(grouped, "classes")
 
 
@@ -214,15 +224,15 @@ def _with_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def _checked(page: Page, template: list[dict]) -> list[tuple[int, int, int]]:
-    """(class, hash of the order of its tokens or -1, hash of the gaps of the root class it is in) for the classes on a page."""
+    """(class, hash of the order of its tokens or -1, hash of the gaps of the root that it is in) for the classes on a page."""
     of = {x["token"]: x["of"] for x in template}
-    root, gap = of.get(PAGE), 0
+    roots, gap = {x["of"] for x in template if x["is_root"]}, PAGE
     seen: dict[int, list[int]] = {}
     gaps: dict[int, set[int]] = {}
     for token, *_ in page.tokens:
         if (c := of.get(token)) is not None:
-            if c == root:
-                gap += 1
+            if c in roots:
+                gap = token
             seen.setdefault(c, []).append(token)
             gaps.setdefault(c, set()).add(gap)
     out = []
@@ -230,12 +240,12 @@ def _checked(page: Page, template: list[dict]) -> list[tuple[int, int, int]]:
         cycle = sequence[: len(set(sequence))]
         regular = len(set(cycle)) == len(cycle) and len(sequence) % len(cycle) == 0 and cycle * (len(sequence) // len(cycle)) == sequence
         order = xxhash.xxh64_intdigest(repr(cycle)) >> 1 if regular else -1
-        out.append((c, order, 0 if c == root else xxhash.xxh64_intdigest(repr(sorted(gaps[c]))) >> 1))
+        out.append((c, order, 0 if c in roots else xxhash.xxh64_intdigest(repr(sorted(gaps[c]))) >> 1))
     return out
 
 
 def valid_classes(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(host, id, html) and classes -> (host, of) for the classes that are ordered and nest in the same gaps of the root on every page that has them."""
+    """(host, id, html) and classes -> (host, of) for the classes that are ordered and nest in the same gaps of the root on nearly every page that has them."""
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (hosts, templates, _), parsed in _pages(batches):
@@ -244,16 +254,16 @@ def valid_classes(pages: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(x, pa.int64()) for x in columns[1:])], ["host", "of", "ord", "gap"])
 
     rows = _with_template(pages, found).select("host", "template", "html").mapInArrow(check, "host string, of long, ord long, gap long")
-    rows = rows.groupBy("host", "of").agg(*[f(c).alias(f"{n}_{c}") for c in ("ord", "gap") for n, f in (("min", F.min), ("max", F.max))])
-    return rows.where("min_ord >= 0 and min_ord = max_ord and min_gap = max_gap").select("host", "of")
+    ways = rows.groupBy("host", "of", "ord", "gap").agg(F.count(F.lit(1)).alias("n"))
+    best = ways.groupBy("host", "of").agg(F.max(F.when(F.col("ord") >= 0, F.col("n"))).alias("best"), F.sum("n").alias("n"))
+    return best.where(F.col("best") >= NEARLY * F.col("n")).select("host", "of")
 
 
 def templates_of(pages: DataFrame) -> DataFrame:
     """(host, id, html) -> host, pages, template: the tokens of the host's valid classes, root first."""
     found = classes(pages)
     valid = valid_classes(pages, found)
-    tokens = found.select("host", "pages", F.explode("template").alias("t"), F.filter("template", lambda x: x.token == PAGE)[0]["of"].alias("root"))
-    tokens = tokens.select("host", "pages", "t.token", "t.of", (F.col("t.of") == F.col("root")).alias("is_root"))
+    tokens = found.select("host", "pages", F.explode("template").alias("t")).select("host", "pages", "t.*")
     kept = tokens.join(valid, ["host", "of"])
     return stored(kept.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("token", "is_root"))).alias("template")), "templates")
 

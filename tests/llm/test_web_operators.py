@@ -64,6 +64,14 @@ def test_nested_classes_are_template(spark):
     assert got == {k: f"own {k} text\nmore of {k}" for k in range(30)}
 
 
+def test_odd_pages_leave_the_template(spark):
+    odd = [(1000, ""), (1001, None), (1002, "<html><body><h1>502 Bad Gateway</h1></body></html>"), (1003, "<div>All rights reserved</div><p>redesigned</p><div>The Daily Example</div>")]
+    rows = [(k, f"http://odd.example/{k}", plain(k) + "<div>All rights reserved</div>") for k in range(1000)] + [(k, f"http://odd.example/{k}", x) for k, x in odd]
+    got = texts_of(spark, rows)
+    assert all(got[k] == f"own {k} text\nmore of {k}" for k in range(1000))
+    assert [got[k] for k, _ in odd] == ["", "", "502 Bad Gateway", "redesigned"]
+
+
 ROWS = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, "http://a/3", "same"), (2, None, None), (4, "", ""), (6, "http://ä/ b", "ünïcode\r\n\r\nx"), (None, "u", "same"), (5, "http://a/5", "same"), (7, "z", "y" * 100_000)]
 
 
