@@ -1,9 +1,9 @@
 """Language-model scoring of whole documents.
 
-Counts, vocabulary, classes and the frequencies of rare words come from all
-training documents. The recurrent weights come from a fixed share of them
-(``TRAIN_SHARE``, which grows with the corpus), trained in parallel from one
-start and averaged after each round.
+Counts, vocabulary, classes, the frequencies of rare words and the recurrent
+weights come from all training documents. The weights are trained in parallel
+from one start and averaged after each round; which trainer sees what in which
+order depends on the documents alone, not on the cluster.
 
 Scoring sends the ``HEAD`` most frequent words to every executor; the rest of a
 document's words are joined with their counts by shuffle, so that nothing that
@@ -27,8 +27,8 @@ from gneiss.llm.recurrent import END, TAIL, Network
 
 #: Words that executors know by heart, and those of them that the network tells apart.
 HEAD, NEURAL = 150_000, 1_000
-#: Share of the training documents that train the network, in so many rounds, by at most so many trainers; documents of a batch.
-TRAIN_SHARE, ROUNDS, TRAINERS, BATCH = 1 / 8, 2, 64, 96
+#: Rounds that the training documents are dealt to, at most so many trainers, with about so many documents each; documents of a batch.
+ROUNDS, TRAINERS, DEALT, BATCH = 2, 64, 2048, 96
 #: Documents scored together; distinct words that a task counts before it hands them on.
 TOGETHER, _FLUSH = 2048, 300_000
 #: The end of a document among words; no word is empty.
@@ -91,12 +91,22 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(ranked, total or 0, distinct)
 
 
+def trainers_for(words: Vocabulary) -> int:
+    """So many trainers as the training documents, which have an end each, ask for."""
+    return max(1, min(TRAINERS, round(words.count.get(END_WORD, 0) / (ROUNDS * DEALT))))
+
+
+def dealt(docs: DataFrame, k: int, trainers: int) -> DataFrame:
+    """The text of the docs (doc_id, text) of round k, a partition for each trainer, in an order by hash."""
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text", F.xxhash64("doc_id", "text").alias("deal"))
+    return part.repartition(trainers, "deal").sortWithinPartitions("deal").select("text")
+
+
 def trained(docs: DataFrame, words: Vocabulary) -> bytes:
-    """The network's weights after ROUNDS of parallel training on a share of docs (doc_id, text)."""
+    """The network's weights after ROUNDS of parallel training, which see each of docs (doc_id, text) once."""
     spark = docs.sparkSession
     sent, weights = spark.sparkContext.broadcast(words), Network(words.neural_counts).blob()
-    trainers = max(1, min(TRAINERS, spark.sparkContext.defaultParallelism))
-    steps = round(ROUNDS / TRAIN_SHARE)
+    trainers = trainers_for(words)
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
 
@@ -114,8 +124,7 @@ def trained(docs: DataFrame, words: Vocabulary) -> bytes:
             if seen:
                 yield pa.RecordBatch.from_pydict({"seen": [seen], "weights": [network.blob()]})
 
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) == k).select("text").repartition(trainers)
-        got = part.mapInArrow(train, "seen long, weights binary").collect()  # a fixed number of trainers
+        got = dealt(docs, k, trainers).mapInArrow(train, "seen long, weights binary").collect()  # a bounded number of trainers
         if got:
             total = sum(x.seen for x in got)
             weights = sum(np.frombuffer(x.weights, "f4").astype("f8") * (x.seen / total) for x in got).astype("f4").tobytes()

@@ -161,6 +161,19 @@ def test_mixing_stays_near_targets_and_is_fair(spark):
     assert out.columns == ["doc_id", "text", "source", "copies"] and 0 < out.where("doc_id = 1").count() <= 4
 
 
+def test_scoring_trains_on_every_document(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('a b c d', id) as text")
+    late = docs.where("pmod(xxhash64(doc_id), 16) >= 2")
+    words = scoring.vocabulary(scoring.token_counts(late))
+    assert scoring.trained(late, words) != scoring.Network(words.neural_counts).blob()
+    deals = []
+    for n in (2, 5):  # how the input lies doesn't matter
+        parts = [scoring.dealt(docs.repartition(n), k, 3).select(F.spark_partition_id().alias("p"), "text").collect() for k in range(scoring.ROUNDS)]
+        assert sorted(x.text for part in parts for x in part) == sorted(x.text for x in docs.collect())
+        deals.append([[tuple(x) for x in part] for part in parts])
+    assert deals[0] == deals[1]
+
+
 def test_scoring_counts_and_base(spark, folder):
     got = {x.doc_id: x for x in scoring.op6_scoring(spark, folder).collect()}
     tokens = {i: [*WORD.findall(lower(x)), None] for i, x in enumerate(TEXTS)}
