@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import scalar as S
 from gneiss.operators import graph as G
 from gneiss.operators import relational as R
-from gneiss.plans.catalog import query
+from gneiss.plans.catalog import query, whole
 from gneiss.plans.projections import Tables, with_tables
 
 
@@ -168,18 +168,24 @@ def _lpa_sql(rounds: int) -> str:
 
 
 @query("g16_label_propagation", with_tables("sold nation_edges", _lpa_sql(3) + "||select||SELECT node, label FROM l3"))
-def g16_label_propagation(spark, sf_dir):
-    return G.label_propagation(G.adjacency(Tables(spark, sf_dir).nation_edges, ["CALLS"]), 3)
+def g16_label_propagation(spark, sf_dir, only="l_partkey % 40 = 0"):
+    return G.label_propagation(G.adjacency(Tables(spark, sf_dir).nation_edges(only), ["CALLS"]), 3)
+
+
+whole("g16_label_propagation")
 
 
 @query("a9_cohesion", with_tables("sold nation_edges", _lpa_sql(2) + """, e AS (SELECT x.label AS lx, y.label AS ly FROM nation_edges JOIN l2 AS x ON x.node = source JOIN l2 AS y ON y.node = target),
 t AS (SELECT label, count(*) AS size FROM l2 GROUP BY label)
 ||select||SELECT label, size, round(coalesce((SELECT count(*) FILTER (WHERE lx = ly) FROM e WHERE lx = label OR ly = label) / nullif(CAST((SELECT count(*) FROM e WHERE lx = label OR ly = label) AS DOUBLE), 0), 0), 3) AS cohesion FROM t"""))
-def a9_cohesion(spark, sf_dir):
-    adjacent = G.adjacency(Tables(spark, sf_dir).nation_edges, ["CALLS"])
+def a9_cohesion(spark, sf_dir, only="l_partkey % 40 = 0"):
+    adjacent = G.adjacency(Tables(spark, sf_dir).nation_edges(only), ["CALLS"])
     return G.cohesion(adjacent, G.label_propagation(adjacent, 2))
 
 
+whole("a9_cohesion")
+
+
 @query("g19_adjacency", with_tables("edges", "SELECT count(*) AS n, count(DISTINCT a) AS nodes FROM (SELECT source AS a, target AS b FROM edges WHERE relation IN ('CALLS', 'REFERENCES') UNION SELECT target, source FROM edges WHERE relation IN ('CALLS', 'REFERENCES'))"))
 def g19_adjacency(spark, sf_dir):
     return G.adjacency(Tables(spark, sf_dir).edges, ["CALLS", "REFERENCES"]).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("nodes"))
@@ -272,7 +278,7 @@ def b8_call_adjacency(spark, sf_dir):
 def g17_communities(spark, sf_dir):
     from gneiss.operators.communities import communities
 
-    return communities(G.adjacency(Tables(spark, sf_dir).nation_edges.select(F.col("source").cast("string").alias("source"), "relation", F.col("target").cast("string").alias("target")), ["CALLS"]))
+    return communities(G.adjacency(Tables(spark, sf_dir).nation_edges("true").select(F.col("source").cast("string").alias("source"), "relation", F.col("target").cast("string").alias("target")), ["CALLS"]))
 
 
 @query("st1_snapshot_changes", "SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'deleted' ELSE 'changed' END AS change FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0")

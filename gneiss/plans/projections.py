@@ -75,13 +75,12 @@ class Tables:
             e=self.raw("events"),
         )
 
-    @property
-    def nation_edges(self) -> DataFrame:
-        """Nations linked if a supplier of one sells a part that a supplier of the other sells too: a small undirected graph."""
+    def nation_edges(self, only: str) -> DataFrame:
+        """Nations linked if a supplier of one sells a part, of those in only, that a supplier of the other sells too: a small undirected graph."""
         return self.spark.sql(
-            """select distinct least(a.n, b.n) as source, 'CALLS' as relation, greatest(a.n, b.n) as target
-            from (select distinct l_partkey as p, s_nationkey as n from {l} join {s} on l_suppkey = s_suppkey where l_partkey % 40 = 0) a
-            join (select distinct l_partkey as p, s_nationkey as n from {l} join {s} on l_suppkey = s_suppkey where l_partkey % 40 = 0) b on a.p = b.p and a.n < b.n""",
+            f"""select distinct least(a.n, b.n) as source, 'CALLS' as relation, greatest(a.n, b.n) as target
+            from (select distinct l_partkey as p, s_nationkey as n from {{l}} join {{s}} on l_suppkey = s_suppkey where {only}) a
+            join (select distinct l_partkey as p, s_nationkey as n from {{l}} join {{s}} on l_suppkey = s_suppkey where {only}) b on a.p = b.p and a.n < b.n""",
             l=self.raw("lineitem"), s=self.raw("supplier"),
         )
 

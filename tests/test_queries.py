@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from gneiss.plans import catalog
+from gneiss.plans.projections import Tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A sample over all kinds of operators; the driver compares all of them.
@@ -42,3 +43,27 @@ def test_every_oracle_names_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def equals_unfiltered(spark, sf_dir, oracle, name, only):
+    """Whether the query over all rows gives what its SQL gives without the filter, and more than with it."""
+    got = catalog.QUERIES[f"{name}_whole"](spark, sf_dir)
+    cursor = oracle.execute(catalog.ORACLES[name].replace(only, "true"))
+    columns = [x[0] for x in cursor.description]
+    rows = canonical([tuple(x) for x in got.collect()], got.columns)
+    assert only in catalog.ORACLES[name] and rows == canonical(cursor.fetchall(), columns)
+    return rows
+
+
+@pytest.mark.parametrize("name", ["g16_label_propagation", "a9_cohesion"])
+def test_communities_of_all_parts(spark, sf_dir, oracle, name):
+    assert equals_unfiltered(spark, sf_dir, oracle, name, "l_partkey % 40 = 0")
+
+
+def test_nation_edges_of_all_parts(spark, sf_dir, oracle):
+    sold = {}
+    for part, nation in oracle.execute("SELECT l_partkey, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey").fetchall():
+        sold.setdefault(part, set()).add(nation)
+    pairs = {(a, b) for nations in sold.values() for a in nations for b in nations if a < b}
+    assert {(x.source, x.target) for x in Tables(spark, sf_dir).nation_edges("true").collect()} == pairs
+    assert {str(x) for pair in pairs for x in pair} == {x[0] for x in catalog.QUERIES["g17_communities"](spark, sf_dir).select("node").collect()}
