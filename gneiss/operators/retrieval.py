@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ SOURCE_SCORES = {"symbol": 0.34, "regex": 0.24, "graph": 0.22, "vector": 0.18, "
 
 #: Queries that are sent to all tasks at once.
 QUERIES_AT_ONCE = 10_000
+#: Chunks of a block of the similarity self-join.
+BLOCK = 2_000
 
 
 def fuse(frames: Sequence[DataFrame]) -> DataFrame:
@@ -73,6 +76,37 @@ def knn(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, roundi
     return reduce(DataFrame.unionByName, map(block, range(blocks)))
 
 
+def near_duplicates(chunks: DataFrame, least: float = 0.85, rounding: int = 6, block: int = BLOCK) -> DataFrame:
+    """(chunk_id, file_path, vector) -> unordered pairs of chunks of different files whose cosine is at least least.
+
+    Exact: chunks are dealt to blocks by hash, and each pair of blocks is one
+    task with about 2 * block chunks. Chunks without a direction have no copies.
+    """
+    valid = chunks.where("chunk_id is not null and file_path is not null and size(vector) > 0 and exists(vector, x -> x <> 0) and not exists(vector, x -> x is null)")
+    blocks = max(1, -(-valid.count() // block))
+    placed = valid.select("chunk_id", "file_path", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("b"))
+    other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = other.select("chunk_id", "file_path", "vector", "dim", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        unit = np.stack(rows["vector"].to_list())
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        left, right = (np.flatnonzero(rows["b"].to_numpy() == x) for x in (i, j))
+        near = np.round(unit[left] @ unit[right].T, rounding)
+        a, b = np.nonzero(near >= least)
+        similarity, a, b = near[a, b], left[a], right[b]
+        paths, ids = rows["file_path"].to_numpy(), rows["chunk_id"].to_numpy()
+        kept = (paths[a] != paths[b]) & ((a < b) if i == j else True)
+        similarity, a, b = similarity[kept], a[kept], b[kept]
+        swap = ids[a] > ids[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pd.DataFrame({"left_id": ids[a], "right_id": ids[b], "left_path": paths[a], "right_path": paths[b], "similarity": similarity})
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return tiles.groupBy("dim", "i", "j").applyInPandas(compare, f"left_id {kind}, right_id {kind}, left_path string, right_path string, similarity double")
+
+
 def hash_vector(text: Column) -> Column:
     """The fallback embedding: the 32 bytes of the SHA-256 over 255, of length one."""
     digest = F.sha2(text, 256)

@@ -81,6 +81,12 @@ def r14_duplicate_files(spark, sf_dir):
     return files.join(first, "sha256").where("path <> left_path").select("left_path", F.col("path").alias("right_path"))
 
 
+@query("r14_near_duplicates")
+def r14_near_duplicates(spark, sf_dir):
+    chunks = Tables(spark, sf_dir).raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("f"), F.col("vec_id") % 40).alias("file_path"), F.col("embedding").alias("vector"))
+    return V.near_duplicates(chunks)
+
+
 @query("r15_similar_functions", """WITH f AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS n, p_size % 5 AS p, p_type AS r, ['c' || (p_partkey % 3), 'd' || (p_partkey % 4)] AS c FROM part), t AS (SELECT * FROM f WHERE id = 1),
 s AS (SELECT f.id, CAST(round(0.35 * (len(list_intersect(f.n, t.n)) / CAST(len(list_distinct(list_concat(f.n, t.n))) AS DOUBLE)) + 0.25 * (CASE WHEN greatest(f.p, t.p) = 0 THEN 1.0 WHEN least(f.p, t.p) = 0 THEN 0.0 ELSE 1 - abs(f.p - t.p) / CAST(greatest(f.p, t.p) AS DOUBLE) END)
  + 0.15 * CAST(f.r = t.r AS INT) + 0.25 * (len(list_intersect(f.c, t.c)) / CAST(len(list_distinct(list_concat(f.c, t.c))) AS DOUBLE)), 4) AS DOUBLE) AS score FROM f, t WHERE f.id <> t.id) SELECT id, score FROM s WHERE score >= 0.3 ORDER BY score DESC, id LIMIT 40""")

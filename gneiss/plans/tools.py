@@ -16,6 +16,8 @@ from gneiss.sources import files as sources
 from gneiss.streaming import changes
 
 MOST_BYTES, MOST_ROWS = 256_000, 50
+#: Relations that data flows along. Fixed values.
+DATA_RELATIONS = ("READS_FIELD", "ACCESSES", "FETCHES", "REFERENCES", "HAS_PROPERTY", "HAS_METHOD", "EXTENDS", "IMPLEMENTS", "ASSOCIATED_WITH", "DECLARES")
 
 
 @dataclass(frozen=True)
@@ -51,11 +53,16 @@ def _trace(edges: DataFrame, node: str, depth: int = 4, branches: int = 4) -> Da
     return graph.paths(edges.where(F.col("relation").isin("CALLS", "USES_SERVICE", "INJECTS")), edges.sparkSession.createDataFrame([(node,)], "node string"), depth, branches)
 
 
+def _data_flow(edges: DataFrame, node: str, depth: int = 4) -> DataFrame:
+    """Where a node's data goes to, by the relations that carry data."""
+    return graph.reach(edges.where(F.col("relation").isin(*DATA_RELATIONS)), edges.sparkSession.createDataFrame([(node,)], "node string"), "down", depth)
+
+
 for _name, _run in {
-    "impact_analysis": _impact, "get_graph_neighborhood": _neighbourhood, "trace_processes": _trace, "trace_data_flow": _impact, "get_callers_and_callees": graph.degrees, "get_dependencies": graph.degrees,
+    "impact_analysis": _impact, "get_graph_neighborhood": _neighbourhood, "trace_processes": _trace, "trace_data_flow": _data_flow, "get_callers_and_callees": graph.degrees, "get_dependencies": graph.degrees,
     "detect_circular_dependencies": graph.cycles, "detect_communities": communities.communities, "list_communities": reports.community_names, "build_unified_graph": reports.unified_groups,
     "graph_query": relational.read_only_sql, "find_symbols": relational.search_symbols, "resolve_target": relational.search_symbols, "detect_dead_code": relational.dead_symbols,
-    "detect_duplicate_code": text.chunk_summary, "find_similar_functions": retrieval.similar_functions, "semantic_code_search": retrieval.final_score, "test_coverage_gaps": reports.coverage_gaps,
+    "detect_duplicate_code": retrieval.near_duplicates, "find_similar_functions": retrieval.similar_functions, "semantic_code_search": retrieval.final_score, "test_coverage_gaps": reports.coverage_gaps,
     "detect_changes": reports.detect_changes, "change_impact_report": reports.change_impact_report, "suggest_tests_for_change": reports.suggest_tests, "test_impact": reports.suggest_tests, "diff_context": reports.diff_context,
     "explain_error": reports.explain_error, "get_symbol_context": reports.symbol_context, "get_file_summary": reports.file_summary, "index_health": reports.index_health, "check_stale_index": change.stale_files,
     "route_map": text.route_map, "api_impact": reports.api_impact, "shape_check": change.missing_keys, "field_impact": reports.field_impact, "preview_rename": text.rename_preview, "get_review_history": relational.merge_findings,

@@ -1,6 +1,8 @@
 """Operators on tiny fixtures: caps, ties, cycles, empty frames, parsers, sources and streams."""
 
 import json
+import math
+import random
 import time
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import scalar as S
 from gneiss.operators import change, communities, graph, parsers, relational, retrieval, text
 from gneiss.operators.batching import semantic_chunks, token_batches
+from gneiss.plans import tools
 from gneiss.sources import files as sources
 from gneiss.streaming import changes
 
@@ -181,3 +184,26 @@ def test_knn_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, retrieval.knn(base.where("id % 4 = 0"), base, 3).collect()))
     monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 3)
     assert sorted(map(tuple, retrieval.knn(base.where("id % 4 = 0"), base, 3).collect())) == whole and len(whole) == 30
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):  # near copies of ten vectors in seven files
+        near = random.Random(k % 10)
+        rows.append((f"c{k:02}", f"f{k % 7}", [near.gauss(0, 1) + rng.gauss(0, 0.25) for _ in range(16)]))
+    rows += [("zero", "z", [0.0] * 16), ("null", "z", None), ("short", "z", [1.0]), ("short too", "y", [2.0])]
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and a[2] and b[2] and any(a[2]) and any(b[2]) and len(a[2]) == len(b[2]) and cosine(a[2], b[2]) >= 0.85}
+    chunks = spark.createDataFrame(rows, "chunk_id string, file_path string, vector array<double>")
+    for block in (7, 1000):
+        got = [(x.left_id, x.right_id) for x in tools.TOOLS["detect_duplicate_code"].run(chunks, block=block).collect()]
+        assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_data_flow_keeps_to_its_relations(spark):
+    edges = spark.createDataFrame([("a", "HAS_PROPERTY", "b"), ("b", "REFERENCES", "c"), ("a", "CALLS", "d"), ("e", "REFERENCES", "a")], "source string, relation string, target string")
+    assert {x.node for x in tools.TOOLS["trace_data_flow"].run(edges, "a").collect()} == {"a", "b", "c"}
