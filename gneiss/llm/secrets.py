@@ -24,10 +24,9 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{16,}")  # a run of hex digits is maximal either way
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
-CONTEXT = re.compile(
-    r"""(?:passwords?|passwd|passphrase|pwd|secret|token|credentials?|(?:api|access|private|signing)[_-]?key|authorization|bearer)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*["']?([^\s"'<>,;]{6,})""",
-    re.ASCII | re.IGNORECASE,
-)
+_NAME = r"""(?:passwords?|passwd|passphrase|pwd|secret|token|credentials?|(?:api|access|private|signing)[_-]?key|authorization|bearer)["']?[\x20\t]*(?:=>|:=|[:=])"""
+#: A name and its value; a scheme word as in a header stands before the value, unless a name with a value of its own follows.
+CONTEXT = re.compile(_NAME + rf"""[\x20\t]*["']?(?:(?:bearer|basic|token)[\x20\t]+(?!{_NAME})["']?)?([^\s"'<>,;]{{6,}})""", re.ASCII | re.IGNORECASE)
 #: Lower-cased texts without any of these have no match of ASSIGN or CONTEXT.
 NAMES = ("passw", "passphrase", "pwd", "secret", "token", "credential", "key", "authorization", "bearer")
 

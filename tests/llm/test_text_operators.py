@@ -127,6 +127,13 @@ def test_guess_cost_against_all_cuts():
     assert secrets.scan("pwd: x9K#fq2LmZ8w", secrets.ranks([])) == [("guess", 5, 17)]
 
 
+def test_scheme_word_before_the_credential():
+    secret, order = "eyJx9K#fq2LmZ8w", secrets.ranks([])
+    for lead in ("Authorization: Bearer ", "authorization: Basic ", '"Authorization": "Token ', "Authorization: Bearer  '", "bearer: ", "Authorization: Bearer pwd=", "Authorization: Token x, pwd: "):
+        assert secrets.scan(lead + secret, order) == [("guess", len(lead), len(lead) + len(secret))], lead
+    assert secrets.scan("Authorization: Bearer of news", order) == []
+
+
 def test_mixing(spark, folder):
     got = mixing.op5_mix(spark, folder).collect()
     again = mixing.op5_mix(spark, folder).collect()
