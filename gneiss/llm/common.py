@@ -82,6 +82,21 @@ def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
     return counts.where(step >= bound) if bound is not None else counts.limit(0)
 
 
+def most_frequent_by(counts: DataFrame, by: str, most: int, n: str = "n") -> DataFrame:
+    """most_frequent for each value of by, of which there are few."""
+    step = F.floor(F.log2(F.col(n)) * 16)
+    total, bound, full = {}, {}, set()
+    for x in counts.groupBy(by, step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect():
+        total[x[by]] = total.get(x[by], 0) + x.rows
+        if total[x[by]] > most:
+            full.add(x[by])
+        if x[by] not in full:
+            bound[x[by]] = x.step
+    if not bound:
+        return counts.limit(0)
+    return counts.where(step >= F.element_at(F.create_map(*[F.lit(y) for x in bound.items() for y in x]), F.col(by)))
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if rows of row_bytes stay below the bound; else df as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.arrow import OUT, annotated
-from gneiss.llm.common import most_frequent, stored, table
+from gneiss.llm.common import most_frequent_by, stored, table
 
-#: Training documents of each language at most (those with the lowest hashes), entries of the word table, entries for each n-gram length.
+#: Training documents of each language at most (those with the lowest hashes); words of each language, and n-grams of each language and length, that the tables take.
 DOCS_PER_LANGUAGE, WORDS, GRAMS, LONGEST = 4_000, 100_000, 40_000, 5
 #: Words after which more evidence no longer raises the score.
 EVIDENCE_WORDS, UNKNOWN = 20, "und"
@@ -65,7 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Per-language log frequencies of words and character n-grams. Its size is bounded by the table sizes above."""
+    """Per-language log frequencies of words and character n-grams. Its size is bounded by the table sizes above for each language."""
 
     def __init__(self, languages: list[str], words: dict[str, dict[str, int]], grams: list[dict[str, dict[str, int]]]):
         self.languages = sorted(languages)
@@ -133,10 +133,13 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     grams = stored(grams, "language-grams")
 
     def top(rows: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-        every = rows.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return {x[key]: x["by"] for x in most_frequent(every, most).select(key, "by").collect()}
+        often = most_frequent_by(rows, "lang", most).select(key).distinct()
+        every = rows.join(often, key, "left_semi").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        return {x[key]: x["by"] for x in every.collect()}  # at most that many for each language
 
-    return Model(list(share), top(counts.where("n > 1"), "word", WORDS), [top(grams.where(F.col("k") == k), "key", GRAMS) for k in range(1, LONGEST + 1)])
+    # What occurs once is noise in a drawn sample, but may be all there is of a small language.
+    seen = counts.where((F.col("n") > 1) | F.col("lang").isin([x for x, y in share.items() if y == 1]))
+    return Model(list(share), top(seen, "word", WORDS), [top(grams.where(F.col("k") == k), "key", GRAMS) for k in range(1, LONGEST + 1)])
 
 
 def identified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -246,6 +246,22 @@ def test_language(spark):
     assert kept.columns == docs.columns and 200 not in {x.doc_id for x in kept.collect()}
 
 
+def test_small_language_keeps_its_words(spark, monkeypatch):
+    monkeypatch.setattr(language, "WORDS", 60)
+    big = ["".join(chr(97 + (i // d) % 26) for d in (1, 26, 676)) + "ing" for i in range(50)]
+    rows = [(i, " ".join(big), "en") for i in range(30)] + [(100, "üksi kaksi kolmö", "fi")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"üksi", "kaksi", "kolmö", *big} == set(model.words[0])
+    assert language.Scorer(model).predict("kaksi kolmö")[0] == "fi"
+
+
+def test_large_language_leaves_the_small_its_words(spark, monkeypatch):
+    monkeypatch.setattr(language, "WORDS", 5)
+    rows = [(i, " ".join(["one two three"] * 9), "en") for i in range(30)] + [(40 + i, "yksi kaksi kolme", "fi") for i in range(3)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.words[0]) == {"one", "two", "three", "yksi", "kaksi", "kolme"}
+
+
 def test_decontamination(spark, folder):
     got = {x.doc_id: x for x in decontaminate.op8_decontaminate(spark, folder).collect()}
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
