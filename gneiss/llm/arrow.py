@@ -9,13 +9,22 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Name of the struct column that ``annotated`` adds.
 OUT = "__gneiss"
 #: Documents handled at once in a worker, so that its memory follows a few texts and not a whole batch.
-ROWS_AT_ONCE = 1024
+ROWS_AT_ONCE = 256
+#: Rows and bytes of a batch on its way to a worker, at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless it has bounds of its own: two tasks' batches must fit beside the heap."""
+    for key, value in BATCH.items():
+        if int(str(spark.conf.get(key)).rstrip("b")) in (10_000, 64 << 20):  # Spark's own defaults
+            spark.conf.set(key, value)
 
 
 def annotated(docs: DataFrame, keep: list[str], column: str, fields: str, start: Callable[[], Callable[[list], Iterable[tuple]]]) -> DataFrame:
@@ -25,6 +34,7 @@ def annotated(docs: DataFrame, keep: list[str], column: str, fields: str, start:
     column's values to one tuple each. Columns of docs can't clash with the
     fields, as these stay inside the struct until the caller selects them.
     """
+    small_batches(docs.sparkSession)
     kind = T.StructType.fromDDL(fields)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(OUT, kind)])
     names = [f.name for f in kind]

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but ASCII white space.
@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_AZ = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 #: Largest table, in bytes, that is sent whole to every executor.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a few numbers that one task takes.
+ROWS_OF_PART = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +47,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read from there: cuts lineage and survives lost executors."""
+    """df, written to the shared folder and read from there: cuts lineage and survives lost executors.
+
+    The folder goes when the application ends.
+    """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    scratch = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    scratch.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(scratch)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str, *more: Column) -> tuple[DataFrame, dict]:
+    """stored, and the number of rows (n) and further aggregates, observed while it is written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n"), *more), label)
+    return out, seen.get
+
+
+def in_parts(df: DataFrame, rows: int) -> DataFrame:
+    """df of so many short rows in partitions of about ROWS_OF_PART, so that small tables take no exchanges."""
+    return df.coalesce(max(1, -(-rows // ROWS_OF_PART)))
+
+
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """docs with its columns under names of their own, besides those needed by name; those names; and the columns under their old names."""
+    own = [f"__c{i}" for i in range(len(docs.columns))]
+    pairs = list(zip(docs.columns, own, strict=True))
+    return docs.select(*[F.col(c).alias(x) for c, x in pairs], *needed), own, [F.col(x).alias(c) for c, x in pairs]
+
+
 def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -16,14 +16,14 @@ from collections.abc import Callable
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gneiss.llm.arrow import OUT, annotated
-from gneiss.llm.common import stored, table
+from gneiss.llm.arrow import OUT, annotated, small_batches
+from gneiss.llm.common import counted, in_parts, set_aside, stored, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints of a chunk, and of the part of its neighbourhood that it is compared with at once.
@@ -71,50 +71,57 @@ def _offsets(blocks: int, radius: int, width: int) -> list[int]:
     return sorted(x for x in (sum(c << (width * i) for i, c in enumerate(s)) for s in seen) if x >= 0)
 
 
-def _forest(batch: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Links of one cell, reduced to a spanning forest: each linked fingerprint and the least one of its local group."""
-    home = batch.fp.to_numpy()[~batch.visits.to_numpy()].view("u8")
-    other = batch.fp.to_numpy()[batch.visits.to_numpy()].view("u8")
-    a, b = [], []
-    for at in range(0, len(home), 128):
-        near = np.bitwise_count(home[at : at + 128, None] ^ other[None, :]) <= radius
-        i, j = np.nonzero(near)
-        a.append(home[at + i])
-        b.append(other[j])
-    a, b = (np.concatenate(x) if x else np.zeros(0, "u8") for x in (a, b))
-    keep = a != b
-    nodes, where = np.unique(np.concatenate([a[keep], b[keep]]), return_inverse=True)
-    i, j = where[: keep.sum()], where[keep.sum() :]
-    least = np.arange(len(nodes))
-    while True:
-        new = least.copy()
-        np.minimum.at(new, i, least[j])
-        np.minimum.at(new, j, least[i])
-        new = new[new]
-        if (new == least).all():
-            break
-        least = new
+def _forest(home: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one cell, reduced to a spanning forest: each linked fingerprint and the least one of its local group.
+
+    Groups grow block by block, so that memory follows a block's links and not the cell's.
+    """
+    nodes, where = np.unique(np.concatenate([home, other]), return_inverse=True)
+    least, h, o = np.arange(len(nodes)), where[: len(home)], where[len(home) :]
+    for at in range(0, len(home), 64):
+        i, j = np.nonzero(np.bitwise_count(home[at : at + 64, None] ^ other[None, :]) <= radius)
+        i, j = h[at + i], o[j]
+        while True:
+            a, b = least[i], least[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))  # a root joins a smaller one
+            while (least[least] != least).any():
+                least = least[least]
     linked = least != np.arange(len(nodes))
-    return pd.DataFrame({"a": nodes[linked].view("i8"), "b": nodes[least[linked]].view("i8")})
+    return nodes[linked], nodes[least[linked]]
 
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """(fp) distinct -> edges (a, b) whose components are those of all links within the radius."""
+    """(fp) distinct, n of them -> edges (a, b) whose components are those of all links within the radius."""
     blocks = next(b for most, b in BLOCKS if n <= most)
     size, width = 64 // blocks, 3 if blocks == 16 else 5
     count = lambda k: F.bit_count(F.shiftrightunsigned("fp", k * size).bitwiseAND(F.lit((1 << size) - 1))).cast("long")
     tile: Column = sum((F.shiftleft(count(k), width * k) for k in range(1, blocks)), count(0))
-    tiled = distinct.select("fp", tile.alias("tile"))
+    tiled = in_parts(distinct, n).select("fp", tile.alias("tile"))
     offsets = F.array(*[F.lit(x).cast("long") for x in _offsets(blocks, radius, width)])
+    around = F.explode(F.transform(offsets, lambda x: F.col("tile") - x)).alias("tile")
     homes = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
-    loads = homes.select(F.explode(F.transform(offsets, lambda x: F.col("tile") - x)).alias("tile"), "n").groupBy("tile").agg(F.sum("n").alias("load"))
-    homes = stored(homes.join(loads, "tile").select("tile", F.ceil(F.col("n") / CHUNK).alias("chunks"), F.ceil(F.col("load") / PART).alias("parts")), "tiles")
+    loads = homes.select(around, "n").groupBy("tile").agg(F.sum("n").alias("load"))
+    # A tile that only its one fingerprint visits has no links.
+    shares = homes.join(loads, "tile").where("load > 1").select("tile", F.ceil(F.col("n") / CHUNK).alias("chunks"), F.ceil(F.col("load") / PART).alias("parts"))
+    homes, seen = counted(shares, "tiles")
+    homes = in_parts(homes, seen["n"])
     spread = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
     home = tiled.join(homes, "tile").select("fp", "tile", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk"), spread("parts").alias("part"), F.lit(False).alias("visits"))
-    visit = tiled.select("fp", F.explode(F.transform(offsets, lambda x: F.col("tile") - x)).alias("tile")).join(homes, "tile")
+    visit = tiled.select("fp", around).join(homes, "tile")
     visit = visit.select("fp", "tile", spread("chunks").alias("chunk"), F.pmod(F.xxhash64("fp", F.lit(1)), "parts").alias("part"), F.lit(True).alias("visits"))
-    cells = home.unionByName(visit).groupBy("tile", "chunk", "part")
-    return cells.applyInPandas(lambda cell: _forest(cell, radius), "a long, b long").distinct()
+    cell = ["tile", "chunk", "part"]
+
+    def compare(rows: pa.Table) -> pa.Table:
+        prints, visits = rows.column("fp").to_numpy().view("u8"), rows.column("visits").to_numpy()
+        a, b = _forest(prints[~visits], prints[visits], radius)
+        return pa.table({"a": a.view("i8"), "b": b.view("i8")})
+
+    small_batches(distinct.sparkSession)
+    return home.unionByName(visit).repartition(*cell).groupBy(*cell).applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -122,49 +129,56 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until nothing changes; each
     round is written to the shared folder. The number of rounds grows with the
-    logarithm of the longest chain.
+    logarithm of the longest chain. A node's least neighbour is aggregated
+    before it is joined, and Spark splits the joins of nodes with many.
     """
 
-    def min_of(pairs: DataFrame) -> DataFrame:
+    def starred(pairs: DataFrame) -> DataFrame:
         least = pairs.groupBy("a").agg(F.min("b").alias("m"))
         return pairs.join(least.select("a", F.least("a", "m").alias("m")), "a")
 
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def pairs_of(*pairs: tuple[Column | str, Column | str]) -> Column:
+        return F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs]))
 
-    edges = stored(edges.select("a", "b").where("a <> b"), "links")
+    same = F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("same")
+    edges, state = counted(edges.select("a", "b").where("a <> b"), "links", same)
     last = None
-    while (now := state(edges)) != last and now[0]:
-        last = now
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = min_of(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = min_of(down)
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), "links")
+    while state["n"] and state != last:
+        last = state
+        large = starred(in_parts(edges, state["n"]).select(pairs_of(("a", "b"), ("b", "a")))).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = starred(large).select(pairs_of(("b", "m"), ("a", "m")))
+        edges, state = counted(small.where("a <> b").distinct(), "links", same)
     return edges
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """(doc_id, __fp) -> (fp, keeper, component_id) for each distinct fingerprint.
+def rooted(prints: DataFrame) -> DataFrame:
+    """(doc_id, __fp) -> fp, least doc_id, and root, which is the same for all fingerprints of a component."""
+    distinct, seen = counted(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")), "fingerprints")
+    stars, found = counted(components(links(distinct.select("fp"), seen["n"])), "stars")
+    joined = in_parts(distinct, seen["n"]).join(in_parts(stars, found["n"]).withColumnRenamed("a", "fp"), "fp", "left")
+    rows, _ = counted(joined.select("fp", "least", F.coalesce("b", "fp").alias("root")), "roots")
+    return in_parts(rows, seen["n"])
 
-    component_id is the smallest doc_id of all documents reachable by links,
-    keeper the fingerprint of that document. Null doc_ids never are the
-    smallest; a group of nothing else has a null component_id.
-    """
-    distinct = stored(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")), "fingerprints")
-    stars = components(links(distinct.select("fp"), distinct.count()))
-    rooted = distinct.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
-    rooted = stored(rooted, "roots")
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("best"))
-    return rooted.join(best, "root").select("fp", F.col("best.fp").alias("keeper"), F.col("best.least").alias("component_id"))
+
+def keepers(roots: DataFrame) -> DataFrame:
+    """root, its component's smallest doc_id, and the fingerprint of that document; null ids come last."""
+    best = roots.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("best"))
+    return best.select("root", F.col("best.fp").alias("keeper"), F.col("best.least").alias("component_id"))
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """(doc_id, __fp) -> (fp, keeper, component_id) for each distinct fingerprint; see keepers."""
+    roots = rooted(prints)
+    return roots.join(keepers(roots), "root").select("fp", "keeper", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, fingerprint (hexadecimal) and component_id for each row.
 
+    component_id is the smallest doc_id of all documents reachable by links.
     Null and empty texts have fingerprint zero and link like any other. Repeated
-    rows share a fingerprint. An empty table gives an empty result.
+    rows share a fingerprint. Null doc_ids never are the smallest; a group of
+    nothing else has a null component_id. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "prints")
     out = prints.join(grouped(prints).withColumnRenamed("fp", "__fp"), "__fp")
@@ -172,17 +186,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id. All columns of docs."""
-    own = [f"__{i}" for i in range(len(docs.columns))]  # free of clashes
-    place = {c: x for c, x in zip(docs.columns, own, strict=True)}
-    seen = fingerprints(docs.select(*[F.col(c).alias(x) for c, x in place.items()], F.col("text")), own)
-    seen = stored(seen.withColumn("__id", F.col(place["doc_id"]).cast("long")), "prints")
-    groups = grouped(seen.select(F.col("__id").alias("doc_id"), "__fp"))
-    keepers = groups.where(F.col("fp") == F.col("keeper")).select(F.col("fp").alias("__fp"), "component_id")
-    kept = seen.join(keepers, "__fp").where(F.col("__id").eqNullSafe(F.col("component_id")))
-    first = F.row_number().over(W.partitionBy("__fp").orderBy(*own))
-    return kept.withColumn("__n", first).where("__n = 1").select(*[F.col(x).alias(c) for c, x in place.items()])
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id. All columns of docs.
+
+    Of rows that share that doc_id, the one whose fingerprint is least stays, of
+    equal rows one. A group whose doc_ids all are null keeps one row. Null and
+    empty texts are one group. An empty table gives an empty result.
+    """
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key")]
+    prints = stored(fingerprints(docs.select(*key, "text"), ["doc_id", "key"]), "prints")
+    best = keepers(rooted(prints)).select(F.col("keeper").alias("__fp"), "component_id")
+    # Texts of one id and fingerprint: the least key.
+    chosen = prints.join(best, "__fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("__fp", "doc_id").agg(F.min("key").alias("key")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    rows, own, back = set_aside(docs)
+    doc_id, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    kept = rows.join(chosen, doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")))
+    first = F.row_number().over(W.partitionBy("__id", "__key").orderBy(*own))
+    return kept.withColumn("__n", first).where("__n = 1").select(*back)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of documents: nulls, ties, repeats, long texts and empty tables as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"))
