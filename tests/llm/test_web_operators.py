@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -43,7 +44,7 @@ def test_extraction(spark, pages):
 def test_classes_are_valid(spark, pages):
     named = pages.select(html.host_of(pages.url).alias("host"), pages.page_id.cast("string").alias("id"), "html").where("host <> ''")
     found = {x.host: x for x in html.templates_of(named).collect()}
-    assert set(found) == {"a.example", "e.example"} and found["a.example"].pages == 15
+    assert set(found) == {"a.example", "e.example", "f.example"} and found["a.example"].pages == 15
     roots = [x.token for x in found["e.example"].template if x.is_root]
     assert html.PAGE in roots and len(roots) == 2
 
@@ -64,6 +65,47 @@ def test_nested_classes_are_template(spark):
     assert got == {k: f"own {k} text\nmore of {k}" for k in range(30)}
 
 
+@pytest.mark.parametrize("pages", [1, 2, 9, 10, 100])
+def test_equal_pages_keep_their_text(spark, pages):
+    for one in ("<article><h1>Head</h1><p>all the same</p></article>", "<div><h1>Head</h1><p>all the same</p></div>"):
+        assert texts_of(spark, [(k, f"http://same.example/{k}", one) for k in range(pages)]) == dict.fromkeys(range(pages), "Head\nall the same")
+
+
+@pytest.mark.parametrize("pages", [2, 12, 40])
+def test_articles_keep_what_they_share(spark, pages):
+    rows = [(k, f"http://shared.example/{k}", f"<nav>Home</nav><article><h1>Head {k}</h1><p>stands in each of them</p><p>own {k}</p></article><footer>end</footer>") for k in range(pages)]
+    assert texts_of(spark, rows) == {k: f"Head {k}\nstands in each of them\nown {k}" for k in range(pages)}
+
+
+def untold(k, more=""):
+    """A page whose menus and boxes change from page to page, and have no telling names."""
+    menu = f"<div><a>Home</a> <a>World</a> <a>page{k}</a></div>"
+    return f"{menu}<div><h2>Head {k}</h2><p>This is what page {k} has to say about it all.</p><ul><li>item {k}</li></ul>{more}<p>And {k} more words, to end with.</p></div><div>Related {k}</div><div>All rights reserved</div>"
+
+
+@pytest.mark.parametrize("pages", [3, 12, 60])
+def test_main_slots_leave_other_slots_out(spark, pages):
+    got = texts_of(spark, [(k, f"http://untold.example/{k}", untold(k, "<p>An extra one.</p>" * (k % 5 == 1))) for k in range(pages)])
+    for k in range(pages):
+        lines = [f"Head {k}", f"This is what page {k} has to say about it all.", f"item {k}", *["An extra one."] * (k % 5 == 1), f"And {k} more words, to end with."]
+        assert got[k] == "\n".join(lines)
+
+
+def test_occurrence_vectors_by_brute_force(spark):
+    """The fingerprints group tokens just as their whole occurrence vectors do."""
+    sources = [plain(k) + untold(k) * (k % 2) for k in range(20)]
+    counts = [Counter(x[0] for x in html.Page(s).tokens if x[0] >= 0) for s in sources]
+    vectors = {t: tuple(c[t] for c in counts) for t in set().union(*counts)}
+    rows = spark.createDataFrame([("h", str(k), s) for k, s in enumerate(sources)], "host string, id string, html string").repartition(3)
+    got = {x.token: (x.n, x.lo, x.hi) for x in html.occurrences(rows).collect() if x.token != html.PAGE}
+    assert set(got) == {t for t, v in vectors.items() if sum(map(bool, v)) >= html.LEAST_PAGES}
+    by_vector, by_print = defaultdict(set), defaultdict(set)
+    for t, x in got.items():
+        by_vector[vectors[t]].add(t)
+        by_print[x].add(t)
+    assert sorted(map(sorted, by_vector.values())) == sorted(map(sorted, by_print.values()))
+
+
 def test_odd_pages_leave_the_template(spark):
     odd = [(1000, ""), (1001, None), (1002, "<html><body><h1>502 Bad Gateway</h1></body></html>"), (1003, "<div>All rights reserved</div><p>redesigned</p><div>The Daily Example</div>")]
     rows = [(k, f"http://odd.example/{k}", plain(k) + "<div>All rights reserved</div>") for k in range(1000)] + [(k, f"http://odd.example/{k}", x) for k, x in odd]
