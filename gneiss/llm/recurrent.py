@@ -5,39 +5,53 @@ output is factored: first the class of the next word, then the word in its
 class, so that a step costs the classes and one class's words rather than the
 vocabulary. Training is truncated backpropagation over windows of WINDOW steps;
 the state goes on from window to window, in training and in scoring, so that a
-document's log-likelihood is that of the whole document.
+document's log-likelihood is that of the whole document. Documents run one
+after another in parallel streams: where one ends the next one of the queue
+begins, with a fresh state, so that a long document holds nothing up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-HIDDEN, CLASSES, WINDOW = 24, 32, 32
+HIDDEN, WINDOW, STREAMS = 24, 32, 128
 RATE, CLIP = 0.1, 5.0
 #: Ids of the end of a document (also what stands before its first word) and of words outside of the vocabulary.
 END, TAIL = 0, 1
 
 
-def class_bounds(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+def class_bounds(counts: np.ndarray) -> np.ndarray:
     """First ids of classes of about equal mass by the square root of frequency; ids are in order of frequency from 2 on.
 
-    END and TAIL are classes of their own.
+    END and TAIL are classes of their own; the rest are in as many classes as the root of their number.
     """
+    classes = max(1, round(len(counts) ** 0.5))
     mass = np.sqrt(counts[2:].astype("f8"))
     share = np.cumsum(mass) / max(mass.sum(), 1e-9)
     cuts = 2 + np.searchsorted(share, np.arange(1, classes) / classes) + 1
     return np.unique(np.concatenate([[0, 1, 2], cuts[cuts < len(counts)], [len(counts)]])).astype(int)
 
 
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp of the rows less a shift, in place; their sums; the shift, which is needed for extreme rows only."""
+    if -60 < logits.min(initial=0) and logits.max(initial=0) < 60:
+        shift: np.ndarray | float = 0.0
+    else:
+        shift = logits.max(1)
+        logits -= shift[:, None]
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype), shift
+
+
 class Network:
     """Parameters and passes. counts[i] is the training count of id i; biases start at the counts' log shares."""
 
     def __init__(self, counts: np.ndarray, hidden: int = HIDDEN, seed: int = 42):
         rng, self.hidden, self.bounds = np.random.default_rng(seed), hidden, class_bounds(counts)
         n, classes = len(counts), len(self.bounds) - 1
-        self.of = np.repeat(np.arange(classes), np.diff(self.bounds))
+        self.of = np.repeat(np.arange(classes), np.diff(self.bounds)).astype("i2")
         log = np.log(counts + 1.0)
         mass = np.array([np.logaddexp.reduce(log[a:b]) for a, b in zip(self.bounds, self.bounds[1:], strict=False)])
         normal = lambda *shape: rng.normal(0, 0.1, shape)
@@ -48,130 +62,187 @@ class Network:
         self.p = {k: v.astype("f4") for k, v in self.p.items()}
         self.seen = {k: np.full_like(v, 1e-2) for k, v in self.p.items()}
 
-    # -- passes over one window: ids and targets are (steps, streams) --
+    # -- passes over one window: ids, targets and fresh are (steps, streams) --
 
-    def _recur(self, ids: np.ndarray, h: np.ndarray, keep: bool):
-        p, n = self.p, self.hidden
-        inputs = p["x"][ids] + p["b"]
-        states, trace = np.empty((*ids.shape, n), "f4"), []
-        for t in range(len(ids)):
-            back = h @ p["r"]
-            gates = 1 / (1 + np.exp(-(inputs[t, :, : 2 * n] + back[:, : 2 * n])))
-            new = np.tanh(inputs[t, :, 2 * n :] + gates[:, :n] * back[:, 2 * n :])
-            if keep:
-                trace.append((h, gates, new, back[:, 2 * n :]))
-            h = new + gates[:, n:] * (h - new)
+    def _recur(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
+        """States behind each step, and with keep what the way back needs; a fresh stream's state is zero."""
+        p, n, steps = self.p, self.hidden, len(ids)
+        inputs = p["x"][ids]
+        inputs += p["b"]
+        states = np.empty((*ids.shape, n), "f4")
+        before, gates, new, back = (np.empty((steps if keep else 1, ids.shape[1], k), "f4") for k in (n, 2 * n, n, n))
+        some = fresh.any(1)
+        for t in range(steps):
+            k = t if keep else 0
+            if some[t]:
+                h = np.where(fresh[t, :, None], np.float32(0), h)
+            through = h @ p["r"]
+            before[k], back[k] = h, through[:, 2 * n :]
+            g = inputs[t, :, : 2 * n]
+            g += through[:, : 2 * n]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=gates[k])
+            g = inputs[t, :, 2 * n :]
+            g += gates[k, :, :n] * back[k]
+            np.tanh(g, out=new[k])
+            h = h - new[k]
+            h *= gates[k, :, n:]
+            h += new[k]
             states[t] = h
-        return states, h, trace
+        return states, h, (before, gates, new, back)
 
-    def _by_class(self, targets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        order = np.argsort(self.of[targets], kind="stable")
-        cuts = np.searchsorted(self.of[targets][order], np.arange(len(self.bounds)))
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a < b and self.bounds[c + 1] - self.bounds[c] > 1:
-                yield int(self.bounds[c]), int(self.bounds[c + 1]), order[a:b]
+    def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of the targets by class, and for classes of several words their first and last id and place in that order."""
+        of = self.of[targets]
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(self.bounds)))
+        return order, [(int(x), int(y), a, b) for x, y, a, b in zip(self.bounds, self.bounds[1:], cuts.tolist(), cuts[1:].tolist(), strict=False) if a < b and y - x > 1]
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms for rows of states and their next words."""
         p = self.p
-        logits = states @ p["wc"] + p["bc"]
-        top = logits.max(1, keepdims=True)
-        out = logits[np.arange(len(targets)), self.of[targets]] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
-        for first, last, rows in self._by_class(targets):
-            logits = states[rows] @ p["u"][first:last].T + p["bu"][first:last]
-            top = logits.max(1, keepdims=True)
-            out[rows] += logits[np.arange(len(rows)), targets[rows] - first] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
+
+        def logs(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            own = logits[np.arange(len(at)), at]
+            _, sums, shift = _exps(logits)
+            return own - shift - np.log(sums)
+
+        out = logs(states @ p["wc"] + p["bc"], self.of[targets])
+        order, classes = self._by_class(targets)
+        for first, last, a, b in classes:
+            rows = order[a:b]
+            out[rows] += logs(states[rows] @ p["u"][first:last].T + p["bu"][first:last], targets[rows] - first)
         return out
 
     def _output_gradients(self, states: np.ndarray, targets: np.ndarray, grads: dict) -> np.ndarray:
         p = self.p
 
-        def pull(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            e = np.exp(logits - logits.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
+        def pull(e: np.ndarray, at: np.ndarray) -> np.ndarray:
+            e, sums, _ = _exps(e)
+            e *= (1 / sums)[:, None]
             e[np.arange(len(at)), at] -= 1
             return e
 
         d = pull(states @ p["wc"] + p["bc"], self.of[targets])
         grads["wc"], grads["bc"] = states.T @ d, d.sum(0)
         out = d @ p["wc"].T
-        for first, last, rows in self._by_class(targets):
+        order, classes = self._by_class(targets)
+        for first, last, a, b in classes:
+            rows = order[a:b]
             some = states[rows]
             d = pull(some @ p["u"][first:last].T + p["bu"][first:last], targets[rows] - first)
-            grads["u"][first:last] += d.T @ some
-            grads["bu"][first:last] += d.sum(0)
+            grads["u"][first:last] = d.T @ some
+            grads["bu"][first:last] = d.sum(0)
             out[rows] += d @ p["u"][first:last]
         return out
 
-    def _learn(self, ids: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def _learn(self, ids: np.ndarray, targets: np.ndarray, mask: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One step of Adagrad on a window; the state behind it."""
         p, n = self.p, self.hidden
-        states, last, trace = self._recur(ids, h, True)
-        grads = {"u": np.zeros_like(p["u"]), "bu": np.zeros_like(p["bu"]), "r": np.zeros_like(p["r"])}
-        out = np.zeros_like(states)
-        out[mask] = self._output_gradients(states[mask], targets[mask], grads)
+        states, last, (before, gates, new, back) = self._recur(ids, fresh, h, True)
+        grads = {"u": np.zeros_like(p["u"]), "bu": np.zeros_like(p["bu"])}
+        if mask.all():
+            out = self._output_gradients(states.reshape(-1, n), targets.reshape(-1), grads).reshape(states.shape)
+        else:
+            out = np.zeros_like(states)
+            out[mask] = self._output_gradients(states[mask], targets[mask], grads)
         inputs, after = np.empty((*ids.shape, 3 * n), "f4"), np.zeros_like(h)
+        through = np.empty_like(inputs)
+        reset, update = gates[:, :, :n], gates[:, :, n:]
+        # What doesn't depend on the way back, for all steps at once.
+        to_new = (1 - update) * (1 - new * new)
+        to_update = (before - new) * update * (1 - update)
+        to_reset = back * reset * (1 - reset)
+        some, rt = fresh.any(1), np.ascontiguousarray(p["r"].T)
         for t in range(len(ids) - 1, -1, -1):
-            before, gates, new, back = trace[t]
-            reset, update = gates[:, :n], gates[:, n:]
-            d = out[t] + after
-            d_new = d * (1 - update) * (1 - new * new)
-            d_update = d * (before - new) * update * (1 - update)
-            d_reset = d_new * back * reset * (1 - reset)
-            inputs[t] = np.concatenate([d_reset, d_update, d_new], 1)
-            through = np.concatenate([d_reset, d_update, d_new * reset], 1)
-            grads["r"] += before.T @ through
-            after = d * update + through @ p["r"].T
+            d = out[t]
+            d += after
+            d_new = d * to_new[t]
+            inputs[t, :, :n] = d_new * to_reset[t]
+            inputs[t, :, n : 2 * n] = d * to_update[t]
+            inputs[t, :, 2 * n :] = d_new
+            through[t, :, : 2 * n] = inputs[t, :, : 2 * n]
+            through[t, :, 2 * n :] = d_new * reset[t]
+            after = through[t] @ rt
+            after += d * update[t]
+            if some[t]:
+                after[fresh[t]] = 0
         flat, words = inputs.reshape(-1, 3 * n), ids.reshape(-1)
-        order = np.argsort(words, kind="stable")
-        rows, starts = np.unique(words[order], return_index=True)
+        grads["r"] = before.reshape(-1, n).T @ through.reshape(-1, 3 * n)
+        order = np.argsort(words.astype("u2") if len(p["x"]) < 1 << 16 else words, kind="stable")
+        sorted_ = words[order]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        rows = sorted_[starts]
         grads["b"], grads["x"] = flat.sum(0), np.add.reduceat(flat[order], starts)
         scale = 1 / max(1, ids.shape[1])
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
         scale *= min(1.0, CLIP / (norm + 1e-9))
         for k, g in grads.items():
-            g = g * np.float32(scale)
+            g *= np.float32(scale)
             if k == "x":
-                self.seen[k][rows] += g * g
-                p[k][rows] -= RATE * g / np.sqrt(self.seen[k][rows])
+                seen = self.seen[k][rows] + g * g
+                self.seen[k][rows] = seen
+                p[k][rows] -= np.float32(RATE) * g / np.sqrt(seen)
             else:
                 self.seen[k] += g * g
-                p[k] -= RATE * g / np.sqrt(self.seen[k])
+                p[k] -= np.float32(RATE) * g / np.sqrt(self.seen[k])
         return last
 
     # -- documents: arrays of ids that close with END --
 
     @staticmethod
-    def _windows(docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """ids, targets and mask of window after window; the first so many documents, longest first, are still on."""
-        lengths = np.array([len(d) for d in docs])
-        flat = np.concatenate([[END], *docs]) if docs else np.zeros(1, int)
-        starts = np.cumsum(lengths) - lengths + 1
-        for at in range(0, int(lengths.max(initial=0)), WINDOW):
-            on = int((lengths > at).sum())
-            steps = min(WINDOW, int(lengths[0]) - at)
-            places = np.minimum(starts[:on] + at + np.arange(steps)[:, None], len(flat) - 1)
-            targets, ids = flat[places], flat[places - 1]
-            if not at:
-                ids[0] = END
-            yield ids, targets, np.arange(at, at + steps)[:, None] < lengths[None, :on], on
-
-    def train(self, docs: list[np.ndarray]) -> None:
-        docs = sorted(docs, key=len, reverse=True)
-        h = np.zeros((len(docs), self.hidden), "f4")
-        for ids, targets, mask, on in self._windows(docs):
-            h = self._learn(ids, targets, mask, h[:on])
-
-    def score(self, docs: list[np.ndarray]) -> np.ndarray:
+    def _windows(docs: Iterable[np.ndarray], streams: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Window after window: ids, targets, the document (by its number) of each place or -1, fresh, and which of the last window's streams go on."""
+        queue = enumerate(docs)
+        running: list[tuple[int, np.ndarray, int] | None] = [None] * streams
+        while True:
+            ids, targets, owner = (np.zeros((len(running), WINDOW), "i4") for _ in range(3))
+            owner -= 1
+            fresh = np.zeros((len(running), WINDOW), bool)
+            on = []
+            for s, now in enumerate(running):
+                at = 0
+                while at < WINDOW:
+                    if now is None:
+                        if (following := next(queue, None)) is None:
+                            break
+                        now = (*following, 0)
+                    k, doc, place = now
+                    n = min(WINDOW - at, len(doc) - place)
+                    targets[s, at : at + n] = doc[place : place + n]
+                    if place:
+                        ids[s, at : at + n] = doc[place - 1 : place + n - 1]
+                    else:
+                        ids[s, at], fresh[s, at] = END, True
+                        ids[s, at + 1 : at + n] = doc[: n - 1]
+                    owner[s, at : at + n] = k
+                    at += n
+                    now = (k, doc, place + n) if place + n < len(doc) else None
+                running[s] = now
+                if at:
+                    on.append(s)
+            if not on:
+                return
+            running = [running[s] for s in on]
+            yield (*(np.ascontiguousarray(x[on].T) for x in (ids, targets, owner, fresh)), np.array(on))
+
+    def train(self, docs: Iterable[np.ndarray], streams: int = STREAMS) -> None:
+        """One pass over the documents, in their order."""
+        h = np.zeros((streams, self.hidden), "f4")
+        for ids, targets, owner, fresh, on in self._windows(docs, streams):
+            h = self._learn(ids, targets, owner >= 0, fresh, h[on])
+
+    def score(self, docs: list[np.ndarray], streams: int = 2 * STREAMS) -> np.ndarray:
         """Natural-log likelihood of each document, its end included."""
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        ranked, total = [docs[i] for i in order], np.zeros(len(docs))
-        h = np.zeros((len(docs), self.hidden), "f4")
-        for ids, targets, mask, on in self._windows(ranked):
-            states, h, _ = self._recur(ids, h[:on], False)
-            logs = np.zeros(mask.shape)
-            logs[mask] = self.log_probabilities(states[mask], targets[mask])
-            total[:on] += logs.sum(0)
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))  # the longest start first, so that streams end together
+        total = np.zeros(len(docs))
+        h = np.zeros((streams, self.hidden), "f4")
+        for ids, targets, owner, fresh, on in self._windows((docs[i] for i in order), streams):
+            states, h, _ = self._recur(ids, fresh, h[on], False)
+            mask = owner >= 0
+            total += np.bincount(owner[mask], self.log_probabilities(states[mask], targets[mask]), len(docs))
         out = np.empty(len(docs))
         out[order] = total
         return out

@@ -5,9 +5,10 @@ weights come from all training documents. The weights are trained in parallel
 from one start and averaged after each round; which trainer sees what in which
 order depends on the documents alone, not on the cluster.
 
-Scoring sends the ``HEAD`` most frequent words to every executor; the rest of a
-document's words are joined with their counts by shuffle, so that nothing that
-grows with the corpus is ever broadcast.
+Each document is cut into words once and kept as network ids. Only the ``HEAD``
+most frequent words are sent to every executor; the rest of a document's words
+are joined with their counts by shuffle, so that nothing that grows with the
+corpus is ever broadcast.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gneiss.llm.arrow import ROWS_AT_ONCE, small_batches
 from gneiss.llm.common import most_frequent, stored, table
 from gneiss.llm.recurrent import END, TAIL, Network
 
 #: Words that executors know by heart, and those of them that the network tells apart.
 HEAD, NEURAL = 150_000, 1_000
-#: Rounds that the training documents are dealt to, at most so many trainers, with about so many documents each; documents of a batch.
-ROUNDS, TRAINERS, DEALT, BATCH = 2, 64, 2048, 96
-#: Documents scored together; distinct words that a task counts before it hands them on.
-TOGETHER, _FLUSH = 2048, 300_000
+#: Rounds that the training documents are dealt to, at most so many trainers, with about so many documents each.
+ROUNDS, TRAINERS, DEALT = 2, 64, 2048
+#: Tokens that a task gathers before it scores their documents together; distinct words that it counts before it hands them on.
+TOGETHER, _FLUSH = 1 << 21, 300_000
 #: The end of a document among words; no word is empty.
 END_WORD = b""
 
@@ -76,11 +79,23 @@ class Vocabulary:
         known = sum(self.count[w] for w in ranked) + self.count.get(END_WORD, 0)
         #: Tail words share their class's probability by count plus one, unseen words being one more word.
         self.tail_total = total - known + distinct - len(ranked) - (END_WORD in self.count) + 1
+        self.place = {w: i for i, w in enumerate(self.count)}
+        #: By place among the head words: log10 of the count plus one, and the network's id.
+        self.logs = np.log10(np.array([*self.count.values()], float) + 1)
+        self.ids_of = np.array([self.id.get(w, TAIL) for w in self.count], "i4")
         self.neural_counts = np.array([self.count.get(END_WORD, 0), total - known, *(self.count[w] for w in ranked)], float)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.id.get
-        return np.array([get(w, TAIL) for w in words])
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, int, float, float, list[bytes]]:
+        """Network ids; how many are head words; the sum of log10 of their counts plus one, and of the share of it that TAIL has; the other words."""
+        get = self.place.get
+        places = np.array([get(w, -1) for w in words])
+        head = places >= 0
+        known = places[head]
+        ids = np.full(len(places), TAIL, "i4")
+        ids[head] = self.ids_of[known]
+        logs = self.logs[known]
+        rest = [] if len(known) == len(places) else [words[i] for i in np.flatnonzero(~head)]
+        return ids, len(known), float(logs.sum()), float(logs[self.ids_of[known] == TAIL].sum()), rest
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -96,106 +111,133 @@ def trainers_for(words: Vocabulary) -> int:
     return max(1, min(TRAINERS, round(words.count.get(END_WORD, 0) / (ROUNDS * DEALT))))
 
 
-def dealt(docs: DataFrame, k: int, trainers: int) -> DataFrame:
-    """The text of the docs (doc_id, text) of round k, a partition for each trainer, in an order by hash."""
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text", F.xxhash64("doc_id", "text").alias("deal"))
-    return part.repartition(trainers, "deal").sortWithinPartitions("deal").select("text")
+_ENCODED = "rid long, doc_id long, held boolean, n_tokens long, n_known long, base double, tail_base double, tail long, ids binary, rest array<struct<token:string,n:long>>"
+
+
+def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """(doc_id, text) -> a row for each, with the ids of its words and what the head words tell; rest: the other words, by number."""
+    sent, schema = docs.sparkSession.sparkContext.broadcast(words), T.StructType.fromDDL(_ENCODED)
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target, rid = to_arrow_schema(schema), TaskContext.get().partitionId() << 36
+        kind = target.field("rest").type
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                rows, ends, rest, times = [], [0], [], []
+                for text in batch.column("text").to_pylist():
+                    tokens = words_of(text)
+                    ids, known, base, tail_base, others = sent.value.encoded(tokens)
+                    rid += 1
+                    rows.append((rid, len(tokens), known, base, tail_base, int((ids == TAIL).sum()), ids.tobytes()))
+                    counts = Counter(others)
+                    rest += counts
+                    times += counts.values()
+                    ends.append(len(rest))
+                rid_, n, known, base, tail_base, tail, ids = zip(*rows, strict=True)
+                entries = pa.StructArray.from_arrays([pa.array([x.decode() for x in rest], pa.string()), pa.array(times, pa.int64())], fields=list(kind.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries, type=kind)
+                arrays = [pa.array(rid_), batch.column("doc_id"), batch.column("held"), *(pa.array(x) for x in (n, known, base, tail_base, tail, ids)), lists]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, target, strict=True)], schema=target)
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held"), "text")
+    return rows.mapInArrow(encode, schema)
+
+
+def dealt(docs: DataFrame, k: int, trainers: int, column: str = "text") -> DataFrame:
+    """A column of the docs (doc_id, column) of round k, a partition for each trainer, in an order by hash."""
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select(column, F.xxhash64("doc_id", column).alias("deal"))
+    return part.repartition(trainers, "deal").sortWithinPartitions("deal").select(column)
 
 
 def trained(docs: DataFrame, words: Vocabulary) -> bytes:
-    """The network's weights after ROUNDS of parallel training, which see each of docs (doc_id, text) once."""
+    """The network's weights after ROUNDS of parallel training, which see each of docs (doc_id, text or ids) once."""
     spark = docs.sparkSession
-    sent, weights = spark.sparkContext.broadcast(words), Network(words.neural_counts).blob()
+    if "ids" not in docs.columns:
+        docs = stored(encoded(docs, words).select("doc_id", "ids"), "ids")
+    sent, weights = spark.sparkContext.broadcast(words.neural_counts), Network(words.neural_counts).blob()
     trainers = trainers_for(words)
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
 
         def train(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            network, waiting, seen = Network(sent.value.neural_counts), [], 0
+            network, seen = Network(sent.value), 0
             network.load(start.value)
-            for text in (x for batch in batches for x in batch.column(0).to_pylist()):
-                waiting.append(sent.value.ids(words_of(text)))
-                seen += len(waiting[-1])
-                if len(waiting) >= BATCH:
-                    network.train(waiting)
-                    waiting = []
-            if waiting:
-                network.train(waiting)
+
+            def texts() -> Iterator[np.ndarray]:
+                nonlocal seen
+                for batch in batches:
+                    for blob in batch.column(0).to_pylist():
+                        ids = np.frombuffer(blob, "i4")
+                        seen += len(ids)
+                        yield ids
+
+            network.train(texts())
             if seen:
                 yield pa.RecordBatch.from_pydict({"seen": [seen], "weights": [network.blob()]})
 
-        got = dealt(docs, k, trainers).mapInArrow(train, "seen long, weights binary").collect()  # a bounded number of trainers
+        got = dealt(docs, k, trainers, "ids").mapInArrow(train, "seen long, weights binary").collect()  # a bounded number of trainers
         if got:
             total = sum(x.seen for x in got)
             weights = sum(np.frombuffer(x.weights, "f4").astype("f8") * (x.seen / total) for x in got).astype("f4").tobytes()
     return weights
 
 
-def scored(docs: DataFrame, counts: DataFrame, words: Vocabulary, weights: bytes) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_tokens, n_known, base_score and score for each row.
+def likelihoods(codes: DataFrame, words: Vocabulary, weights: bytes) -> DataFrame:
+    """encoded rows -> rid and score, the network's log10 probability of the ids."""
+    sent = codes.sparkSession.sparkContext.broadcast((words.neural_counts, weights))
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(sent.value[0])
+        network.load(sent.value[1])
+        rids: list[int] = []
+        texts: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"rid": pa.array(rids, pa.int64()), "score": pa.array(network.score(texts) / math.log(10), pa.float64())})
+            rids.clear()
+            texts.clear()
+            return out
+
+        waiting = 0
+        for batch in batches:
+            for rid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rids.append(rid)
+                texts.append(np.frombuffer(blob, "i4"))
+                waiting += len(texts[-1])
+                if waiting > TOGETHER:
+                    yield flush()
+                    waiting = 0
+        yield flush()
+
+    small_batches(codes.sparkSession)
+    return codes.select("rid", "ids").mapInArrow(score, "rid long, score double")
+
+
+def scored(codes: DataFrame, counts: DataFrame, words: Vocabulary, weights: bytes) -> DataFrame:
+    """encoded rows -> doc_id, held, n_tokens, n_known, base_score and score for each.
 
     A null text is empty and has its end only. Rows that repeat a doc_id are
     scored each for itself. Without training documents every token is unseen.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((words, weights))
-    names = ["rid", "doc_id", "token", "n", "n_tokens", "n_known", "base", "score", "rest", "tail"]
-    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vocabulary, blob), rid = sent.value, TaskContext.get().partitionId() << 36
-        network = Network(vocabulary.neural_counts)
-        network.load(blob)
-        logs, get = {w: math.log10(n + 1) for w, n in vocabulary.count.items()}, vocabulary.id.get
-        for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                rows: list[list] = [[] for _ in names]
-                ids = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    rid += 1
-                    tokens = words_of(text)
-                    own = np.array([get(w, TAIL) for w in tokens])
-                    ids.append(own)
-                    known, base, tail, rest = 0, 0.0, 0.0, Counter()
-                    for w, i in zip(tokens, own.tolist(), strict=True):
-                        c = logs.get(w)
-                        if c is None:
-                            rest[w] += 1
-                        else:
-                            known += 1
-                            base += c
-                            if i == TAIL:
-                                tail += c
-                    n_rest = sum(rest.values())
-                    # The document's own row; its key is no word, as it holds a blank.
-                    for column, x in zip(rows, (rid, doc_id, f" {rid}", 0, len(tokens), known, base, tail, n_rest, int((own == TAIL).sum())), strict=True):
-                        column.append(x)
-                    m = len(rest)
-                    for column, x in zip(rows, ([rid] * m, [doc_id] * m, [w.decode() for w in rest], rest.values(), *[[0] * m] * 2, *[[0.0] * m] * 2, *[[0] * m] * 2), strict=True):
-                        column.extend(x)
-                likelihoods = iter(network.score(ids) / math.log(10))
-                rows[7] = [x + float(next(likelihoods)) if not n else x for x, n in zip(rows[7], rows[3], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
-
-    schema = "rid long, doc_id long, token string, n long, n_tokens long, n_known long, base double, score double, rest long, tail long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, schema)
-    joined = rows.join(counts.select("token", F.col("n").alias("c")), "token", "left")
-    log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    per = joined.groupBy("rid", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("tail").alias("tail"), F.sum(log).alias("log"),
-    )
-    base = F.col("base") + F.col("log") - F.col("n_tokens") * math.log10(words.total + words.distinct + 1)
+    rest = codes.select("rid", F.inline("rest")).join(counts.select("token", F.col("n").alias("c")), "token")
+    rest = rest.groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log"))
+    per = codes.drop("ids", "rest").join(likelihoods(codes, words, weights), "rid").join(rest, "rid", "left")
+    log = F.coalesce("log", F.lit(0.0))  # an unseen word has the logarithm of one
+    base = F.col("base") + log - F.col("n_tokens") * math.log10(words.total + words.distinct + 1)
     # Rare and unseen words: the network's TAIL, times their share of it.
-    score_ = F.col("score") + F.col("log") - F.col("tail") * math.log10(words.tail_total)
-    return per.select("doc_id", "n_tokens", "n_known", base.alias("base_score"), score_.alias("score"))
+    score = F.col("score") + F.col("tail_base") + log - F.col("tail") * math.log10(words.tail_total)
+    return per.select("doc_id", "held", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), base.alias("base_score"), score.alias("score"))
 
 
 def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    training = docs.where(~is_held_out(F.col("doc_id")))
-    counts = stored(token_counts(training), "token-counts")
+    """scored for documents: nulls, repeats, long texts and empty tables as stated there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = stored(token_counts(docs.where(~is_held_out(F.col("doc_id")))), "token-counts")
     words = vocabulary(counts)
-    found = scored(docs, counts, words, trained(training, words))
-    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
+    codes = stored(encoded(docs, words), "codes")
+    found = scored(codes, counts, words, trained(codes.where("not held").select("doc_id", "ids"), words))
+    return found.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
