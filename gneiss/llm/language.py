@@ -14,17 +14,18 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gneiss.llm.arrow import OUT, annotated
-from gneiss.llm.common import most_frequent_by, stored, table
+from gneiss.llm.arrow import OUT, annotated, small_batches
+from gneiss.llm.common import most_frequent_by, set_aside, stored, table
 
 #: Training documents of each language at most (those with the lowest hashes); words of each language, and n-grams of each language and length, that the tables take.
 DOCS_PER_LANGUAGE, WORDS, GRAMS, LONGEST = 4_000, 100_000, 40_000, 5
 #: Words after which more evidence no longer raises the score.
 EVIDENCE_WORDS, UNKNOWN = 20, "und"
 #: Learned words that one task holds before it hands counts on, and unseen words that a worker remembers.
-_FLUSH, _CACHE = 200_000, 200_000
+_FLUSH, _CACHE = 50_000, 65_536
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,6 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -90,8 +92,25 @@ class Model:
 
 
 class Scorer:
+    """Predictions by one task; the evidence of the unseen words met last is remembered."""
+
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
+        self.model, self.places = model, {}
+        self.evidence = np.zeros((0, len(model.languages)), "f4")
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        """The summed evidence of unseen words; what is remembered bounds memory and changes no result."""
+        fresh = [x for x in dict.fromkeys(words) if x not in self.places]
+        if len(self.places) + len(fresh) > _CACHE:
+            self.places, fresh = {}, list(dict.fromkeys(words))
+        if fresh:
+            new = len(self.places) + len(fresh)
+            if new > len(self.evidence):
+                self.evidence = np.concatenate([self.evidence, np.zeros((max(new, len(self.evidence)), self.evidence.shape[1]), "f4")])
+            for x in fresh:
+                self.evidence[len(self.places)] = self.model.unseen(x)
+                self.places[x] = len(self.places)
+        return self.evidence[[self.places[x] for x in words]].sum(0, dtype="f8")
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its score: the softmax of the mean evidence of a word, times at most EVIDENCE_WORDS."""
@@ -101,13 +120,8 @@ class Scorer:
         keys, logs = self.model.words
         places = [keys.get(x, -1) for x in words]
         total = logs[[i for i in places if i >= 0]].sum(0, dtype="f8")
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        for word, i in zip(words, places, strict=True):
-            if i < 0:
-                if word not in self.cache:
-                    self.cache[word] = self.model.unseen(word)
-                total = total + self.cache[word]
+        if unseen := [x for x, i in zip(words, places, strict=True) if i < 0]:
+            total = total + self._unseen(unseen)
         total = total / len(words) * min(len(words), EVIDENCE_WORDS)
         best = int(total.argmax())
         return languages[best], float(1 / np.exp(total - total[best]).sum())
@@ -116,16 +130,20 @@ class Scorer:
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """A model from (doc_id, text, lang). Rows without language, text or letters teach nothing.
 
-    At most docs_per_language documents of a language, drawn by a hash of the
-    id, are read: the model is a classifier fitted on a bounded sample.
+    The docs_per_language documents of a language with the least hashes of id
+    and text are read: the model is a classifier fitted on a bounded sample.
+    Copies of the last one, which share its hash, are read too. The result
+    doesn't depend on the order of rows; an empty table teaches nothing.
     """
-    labelled = docs.where("lang is not null and text is not null")
-    share = {x.lang: min(1.0, docs_per_language / x.n) for x in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not share:
+    hashed = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # Spark keeps the first rows of each language in every task before it shuffles.
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    drawn = hashed.select("lang", "h").withColumn("k", rank).where(F.col("k") <= docs_per_language)
+    last = {x.lang: (x.h, x.n) for x in drawn.groupBy("lang").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not last:
         return Model([], {}, [{} for _ in range(LONGEST)])
-    bound = F.element_at(F.create_map(*[F.lit(y) for x in share.items() for y in x]), F.col("lang"))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) < bound
-    counts = stored(word_counts(labelled.where(drawn)), "language-words")
+    bound = F.element_at(F.create_map(*[F.lit(y) for lang, (h, _) in last.items() for y in (lang, h)]), F.col("lang"))
+    counts = stored(word_counts(hashed.where(F.col("h") <= bound)), "language-words")
     grams = counts.select("lang", "n", F.explode(F.expr(
         f"flatten(transform(sequence(1, {LONGEST}), k -> transform(sequence(1, greatest(length(if(k > 1, concat(' ', word, ' '), word)) - k + 1, 0)),"
         " i -> struct(k as k, substring(if(k > 1, concat(' ', word, ' '), word), i, k) as key))))"
@@ -138,15 +156,17 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
         return {x[key]: x["by"] for x in every.collect()}  # at most that many for each language
 
     # What occurs once is noise in a drawn sample, but may be all there is of a small language.
-    seen = counts.where((F.col("n") > 1) | F.col("lang").isin([x for x, y in share.items() if y == 1]))
-    return Model(list(share), top(seen, "word", WORDS), [top(grams.where(F.col("k") == k), "key", GRAMS) for k in range(1, LONGEST + 1)])
+    seen = counts.where((F.col("n") > 1) | F.col("lang").isin([lang for lang, (_, n) in last.items() if n < docs_per_language]))
+    return Model(list(last), top(seen, "word", WORDS), [top(grams.where(F.col("k") == k), "key", GRAMS) for k in range(1, LONGEST + 1)])
 
 
-def identified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def identified(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep of docs and a struct OUT with lang_pred and score, from the text alone.
 
     A null text, and one without a letter, is ``und`` with score 0, and so is
-    every text where nothing was learned.
+    every text where nothing was learned. Of equally likely languages the first
+    by code point is taken; repeated rows are predicted each for itself. An empty table gives
+    an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -154,17 +174,25 @@ def identified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         predict = Scorer(sent.value).predict
         return lambda texts: map(predict, texts)
 
-    return annotated(docs, keep, "text", "lang_pred string, score double", start)
+    return annotated(docs, keep, text, "lang_pred string, score double", start)
 
 
 def with_known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """docs whose text has a language that the model finds likelier than all others together; all columns of docs."""
+    """docs whose text has a language that the model finds likelier than all others together; all columns of docs.
+
+    Texts without a letter go, null ones too. Where no row has a language nothing can be learned, and nothing is rejected
+    but those texts. Repeated rows stay or go together; an empty table gives an empty result.
+    """
     model = train(docs.where(~is_held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    rows, own, back = set_aside(docs)
     sure = (F.col(f"{OUT}.lang_pred") != UNKNOWN) & (F.col(f"{OUT}.score") >= least_score)
-    return identified(docs, model, docs.columns).where(sure).select(*docs.columns)
+    return identified(rows, model, own, own[docs.columns.index("text")]).where(sure).select(*back)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identified for documents: nulls, ties, repeats, long texts and empty tables as stated there and in train."""
     docs = table(spark, sf_dir, "documents")
     found = identified(docs, train(docs.where(~is_held_out(F.col("doc_id")))), ["doc_id"])
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), f"{OUT}.lang_pred", f"{OUT}.score")
