@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import let, stored, table, word_count
+from gneiss.llm.common import let, set_aside, stored, table, word_count
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 FAN_IN, SEED = 64, 42
@@ -130,19 +130,24 @@ def mix(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """Documents, each as often as the mix takes it, with the columns of docs."""
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    keyed = docs.withColumn("__key", key)
-    got = mix(keyed.select("__key.doc_id", "__key.source", "__key.size"), **options)
+    """Documents, each as often as the mix takes it, with the columns of docs.
+
+    Rows of one id, source and size share their copies: by text, then by the
+    other columns, the first ones take one more. Nulls, ties and empty tables
+    as in mix.
+    """
+    rows, own, back = set_aside(docs, "doc_id", "source", "text")
+    sizes = rows.select(*own, F.struct(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")).alias("__key"), F.xxhash64("text").alias("__text"))
+    got = mix(sizes.select("__key.doc_id", "__key.source", "__key.size"), **options)
     got = got.groupBy(F.struct("doc_id", "source", "size").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
-    keyed = keyed.withColumn("__row", F.row_number().over(W.partitionBy("__key").orderBy("text")))
-    out = keyed.join(got, "__key")
+    out = sizes.join(got, "__key").withColumn("__row", F.row_number().over(W.partitionBy("__key").orderBy("__text", *own)))
     times = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__row") <= F.col("__copies") % F.col("__n")).cast("long")
     out = out.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix of documents: nulls, ties, repeats, long texts and empty tables as stated there."""
     docs = table(spark, sf_dir, "documents")
     sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     return mix(sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -99,7 +99,9 @@ def posteriors(patterns: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of docs, the measures (struct __m), votes, posterior, base_failed and kept.
 
-    An empty or null text fails the base rules. Repeated rows count as often as they occur.
+    An empty or null text fails the base rules. Repeated rows count as often as
+    they occur, and each is judged for itself; a posterior of one half is clean.
+    Texts are measured whole at any length. An empty table gives an empty result.
     """
     seen = measures(docs, keep).select(*keep, "__m", *[F.col("__m")[x].alias(f"__m_{x}") for x in ("n_words", "n_repeat_words")])
     names = {f.name for f in seen.schema["__m"].dataType}
@@ -114,6 +116,10 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judged for documents: nulls, ties, repeats, long texts and empty tables as stated there.
+
+    The vocabulary rule abstains on texts of over 2,000 words, where few distinct words are no sign of junk.
+    """
     found = judged(table(spark, sf_dir, "documents"), ["doc_id"])
     base = [F.col("__m")[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select("doc_id", *base, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.arrow import RangeReader, written
+from gneiss.llm.arrow import RangeReader, small_batches, written
 from gneiss.llm.common import fresh_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -207,13 +207,16 @@ class FrameReader:
 def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> tuple[str, list[tuple[int, str, int, int]]]:
     """Writes (doc_id, text) in ascending doc_id order; returns the folder and (part, path, documents, ids) of each file.
 
-    Null doc_ids come first; rows with one doc_id are ordered by text; a null
-    text is empty and keeps its end id. An empty table writes no files.
+    Null doc_ids come first; rows with one doc_id are ordered by a hash of their
+    text, so that one id may fill many files; repeated rows are documents of
+    their own; a null text is empty and keeps its end id. An empty table writes
+    no files.
     """
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    small_batches(spark)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,4 +263,5 @@ def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_files of documents: nulls, ties, repeats, long texts and empty tables as in write_token_files."""
     return token_files(spark, table(spark, sf_dir, "documents"))

@@ -295,6 +295,7 @@ def read_packages(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def op3_zip_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """write_packages of pages, read back: null html is an empty payload; rows that repeat a page_id are records of their own; an empty table gives none."""
     return read_packages(spark, write_packages(table(spark, sf_dir, "pages")))
 
 

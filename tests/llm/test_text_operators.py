@@ -115,6 +115,41 @@ def brute_cost(value, order):
     return best
 
 
+def exhaustive_cost(value, order):
+    """The least cost over all ways to cut value into segments of all kinds, each tried for itself."""
+    low, looks, plain = value.lower(), value.lower().translate(secrets._LOOKALIKES), value.translate(secrets._SHIFTED).lower()
+    best = [0.0] + [math.inf] * len(value)
+    for j in range(1, len(value) + 1):
+        for i in range(j):
+            size, costs = j - i, [float(j - i)]
+            if size >= 3 and all(b in secrets.NEAR.get(a, "") for a, b in zip(plain[i:j], plain[i + 1 : j], strict=False)):
+                costs.append(secrets.walk_cost(size))
+            for text, is_look in ((low, False), (looks, True)):
+                if size >= 3 and text[i:j] in order:
+                    costs.append(secrets.word_cost(value[i:j], order[text[i:j]], is_look))
+            if any((m := x.match(value, i)) and m.end(1) == j for x in (secrets._DATE, secrets._YEAR)):
+                costs.append(secrets.date_cost(size))
+            for unit in secrets.UNITS:
+                if size >= 3 and size // unit >= 2 and size % unit == 0 and value[i:j] == value[i : i + unit] * (size // unit):
+                    costs.append(secrets.repeat_cost(unit, size // unit))
+            best[j] = min(best[j], best[i] + min(costs) + secrets.CUT)
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    rng = random.Random(5)
+    order = secrets.ranks(["secret", "cat", "catalogue", "password", "master", "logs"])
+    parts = [*order, "secretttt", "aaa", "abab", "xyzxyz", "qwer", "asdf", "1234", "2019", "2019-12-31", "31122019", "P4ssw0rd", "MASTER", "x", "Q", "7", "-"]
+    values = ["secretttttttt", "masterrrrrrrrr12", "aaaaaaaaaaaa", "ababababab", "20191231", "qwertyuiop", "", "x"]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(700)]
+    values += ["".join(rng.choice("ab1q") for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    values += ["".join(c * rng.randint(1, 20) for c in rng.choices("abc", k=4)) for _ in range(200)]
+    for value in values:
+        cost, segments = secrets.guess_cost(value, order)
+        assert cost == pytest.approx(exhaustive_cost(value, order), abs=1e-9), value
+        assert "".join(value[a:b] for _, a, b in segments) == value
+
+
 def test_guess_cost_against_all_cuts():
     order = {"cat": 3, "catalog": 9, "log": 5}
     for value in ("catalog", "catlogx", "xcatzq", "logcat", "zqvmxk", "xxcatalog"):
@@ -194,6 +229,50 @@ def test_scoring_counts_and_base(spark, folder):
         assert x.score < 0
 
 
+def test_score_by_brute_force(spark, folder):
+    """A document's score is the chain of its words' probabilities, step by step, a rare word's being TAIL's share by counts."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    held = {x.doc_id: zlib.crc32(str(x.doc_id).encode()) % 7 == 2 for x in docs.collect()}
+    counts = scoring.token_counts(docs.where(~scoring.is_held_out(F.col("doc_id"))))
+    words = scoring.vocabulary(counts)
+    ranked = sorted({x.token: x.n for x in counts.collect()}.items(), key=lambda x: (-x[1], x[0]))
+    known = [w.encode() for w, _ in ranked if w][:50]
+    words.id = {w: i + 2 for i, w in enumerate(known)} | {b"": 0}
+    words.ids_of = np.array([words.id.get(w, 1) for w in words.count], "i4")
+    every = {w.encode(): n for w, n in ranked}
+    rest = sum(n for w, n in every.items() if w not in words.id)
+    words.tail_total = rest + len(every) - len(words.id) + 1
+    words.neural_counts = np.array([every[b""], rest, *(every[w] for w in known)], float)
+    weights = scoring.trained(docs, words)
+    codes = scoring.stored(scoring.encoded(docs, words), "codes")
+    got = {x.doc_id: x.score for x in scoring.scored(codes, counts, words, weights).collect()}
+    net = scoring.Network(words.neural_counts)
+    net.load(weights)
+    p, n = {k: v.astype("f8") for k, v in net.p.items()}, net.hidden
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    for x in docs.collect():
+        h, before, total = np.zeros(n), 0, 0.0
+        tokens = scoring.words_of(x.text)[:400] if x.text == LONG else scoring.words_of(x.text)
+        if x.text == LONG:
+            continue
+        for w in tokens:
+            a, b = p["x"][before] + p["b"], h @ p["r"]
+            r, z = (1 / (1 + np.exp(-(a[i * n : i * n + n] + b[i * n : i * n + n]))) for i in (0, 1))
+            new = np.tanh(a[2 * n :] + r * b[2 * n :])
+            h = z * h + (1 - z) * new
+            i = words.id.get(w, 1)
+            c = net.of[i]
+            first, last = net.bounds[c], net.bounds[c + 1]
+            total += soft(h @ p["wc"] + p["bc"])[c] + (soft(p["u"][first:last] @ h + p["bu"][first:last])[i - first] if last - first > 1 else 0)
+            if i == 1:
+                total += math.log((every.get(w, 0) + 1) / words.tail_total)
+            before = i
+        assert got[x.doc_id] == pytest.approx(total / math.log(10), rel=1e-3), x.doc_id
+    assert any(held.values()) and len(got) == len(TEXTS)
+
+
 def test_network_is_a_distribution_and_learns():
     import numpy as np
 
@@ -246,6 +325,56 @@ def test_language(spark):
     assert kept.columns == docs.columns and 200 not in {x.doc_id for x in kept.collect()}
 
 
+def test_language_by_brute_force(spark):
+    """Predictions equal those of a model that is counted and scored in plain Python."""
+    rng = random.Random(3)
+    syllables = {"en": "the ing er wa th ro and", "de": "der sch ung ein ie ge ch", "fr": "le la que ou eau ment é"}
+    word = lambda lang: "".join(rng.choices(syllables[lang].split(), k=rng.randint(1, 3)))
+    rows = [(i, " ".join(word(x) for _ in range(rng.randint(1, 30))), x) for i in range(240) for x in [rng.choice(list(syllables))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    words = {x: Counter() for x in syllables}
+    for _, text, lang in training:
+        words[lang].update(re.findall(r"[^\W\d_]+", text.lower()))
+    grams = [{x: Counter() for x in syllables} for _ in range(language.LONGEST)]
+    for lang, counts in words.items():
+        for w, n in counts.items():
+            for k in range(1, language.LONGEST + 1):
+                padded = f" {w} " if k > 1 else w
+                for i in range(len(padded) - k + 1):
+                    grams[k - 1][lang][padded[i : i + k]] += n
+
+    def logs(counts):
+        keys = set().union(*counts.values())
+        return {k: [math.log((counts[x][k] + 0.1) / (sum(counts[x].values()) + 0.1 * (len(keys) + 1))) for x in sorted(counts)] for k in keys}
+
+    word_logs, gram_logs = logs(words), [logs(x) for x in grams]
+
+    def evidence(w):
+        if w in word_logs:
+            return word_logs[w]
+        for k in range(language.LONGEST, 0, -1):
+            padded = f" {w} " if k > 1 else w
+            if known := [gram_logs[k - 1][g] for i in range(len(padded) - k + 1) if (g := padded[i : i + k]) in gram_logs[k - 1]]:
+                return [sum(x) / len(known) for x in zip(*known, strict=True)]
+        return [0.0] * len(syllables)
+
+    model = language.train(docs.where(~language.is_held_out(F.col("doc_id"))))
+    got = {x.doc_id: x for x in language.identified(docs, model, ["doc_id"]).select("doc_id", f"{arrow.OUT}.*").collect()}
+    for doc_id, text, _ in rows:
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        total = [sum(x) / len(found) * min(len(found), language.EVIDENCE_WORDS) for x in zip(*map(evidence, found), strict=True)]
+        best = max(range(len(total)), key=lambda i: total[i])
+        assert got[doc_id].lang_pred == sorted(syllables)[best]
+        assert got[doc_id].score == pytest.approx(1 / sum(math.exp(x - total[best]) for x in total), rel=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('word', id) as text", "if(id % 3 = 0, 'a', 'b') as lang")
+    model = language.train(docs.where("true"), docs_per_language=20)
+    assert len(model.words[0]) <= 40 and model.languages == ["a", "b"]
+
+
 def test_small_language_keeps_its_words(spark, monkeypatch):
     monkeypatch.setattr(language, "WORDS", 60)
     big = ["".join(chr(97 + (i // d) % 26) for d in (1, 26, 676)) + "ing" for i in range(50)]
@@ -266,9 +395,9 @@ def test_decontamination(spark, folder):
     got = {x.doc_id: x for x in decontaminate.op8_decontaminate(spark, folder).collect()}
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
     items = {}
-    for item, text in ((1, "ONE two, three one two three one two three one two three one two"), (2, "dup licate")):
+    for item, text in ((1, "ONE two, three one two three one two three one two three one two"), (2, "dup licate"), (None, "a b")):
         w = split(text)
-        items[str(item)] = [w[k : k + 13] for k in range(max(1, len(w) - 12))]
+        items[item and str(item)] = [w[k : k + 13] for k in range(max(1, len(w) - 12))]
     for i, text in enumerate(TEXTS):
         words, hit, found = split(text), set(), set()
         for item, windows in items.items():
@@ -279,7 +408,7 @@ def test_decontamination(spark, folder):
                         found.add(item)
         x = got[i]
         assert (x.n_words, x.n_hit, x.n_items) == (len(words), len(hit), len(found)), i
-        assert x.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert x.items_sha256 == hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest()
         assert x.contaminated == (bool(hit) and 20 * len(hit) >= len(words))
 
 
@@ -293,6 +422,25 @@ def test_decontamination_in_shards_and_spans(spark, folder, monkeypatch):
     assert [text[a:b] for a, b in decontaminate.Automaton([(2, "dup licate")]).scan(text)[3]] == ["Dup,  licate"]
 
 
+def test_automaton_of_many_words():
+    """Words that take two characters each give the same hits."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(1, 9)))) for k in range(40)]
+    one, two = decontaminate.Automaton(items, 3), decontaminate.Automaton(items, 3, codes=9)
+    assert (one.width, two.width) == (1, 2)
+    for _ in range(300):
+        text = " ".join(rng.choices([*vocabulary, "other", "x"], k=rng.randint(0, 40)))
+        assert one.scan(text) == two.scan(text)
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "dup licate", 5, 6), (1, None, 7, 8), (2, "clean words", 9, 10)], "doc_id long, text string, __gneiss int, __row int")
+    bench = spark.createDataFrame([(1, "dup licate")], "item_id long, text string")
+    kept = decontaminate.clean_documents(docs, bench)
+    assert kept.columns == docs.columns and sorted(tuple(x) for x in kept.collect() if x.text) == [(2, "clean words", 9, 10)] and kept.count() == 2
+
+
 def test_token_files(spark, folder):
     from tokenizers import Tokenizer
 
