@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extension -> language. Fixed values.
+#: Extension -> language, and whole file name -> language. Fixed values.
 LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp",
-    "pas": "pascal", "dfm": "pascal", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "sql": "sql", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "sh": "shell",
+    "py": "python", "ts": "typescript", "tsx": "tsx", "js": "typescript", "jsx": "tsx", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp",
+    "s": "assembly", "asm": "assembly", "inc": "assembly_include", "cs": "csharp", "java": "java", "csproj": "csharp_project", "sln": "csharp_solution", "vcxproj": "native_project",
+    "mcp": "mplab_project", "mcw": "mplab_workspace", "mptags": "mplab_tags", "scl": "mplab_script", "plt": "mplab_plot", "pas": "object_pascal", "pp": "object_pascal",
+    "dpr": "object_pascal_project", "dpk": "object_pascal_package", "lpr": "object_pascal_project", "lfm": "object_pascal_form", "dfm": "object_pascal_form", "dproj": "object_pascal_project",
+    "groupproj": "object_pascal_project", "lpi": "object_pascal_project", "lpk": "object_pascal_package", "cmake": "native_build", "json": "json", "rb": "ruby", "go": "go", "rs": "rust",
+    "php": "php", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "dart": "dart", "lua": "lua", "r": "r", "m": "objective_c", "mm": "objective_cpp", "ex": "elixir",
+    "exs": "elixir", "erl": "erlang", "hrl": "erlang", "fs": "fsharp", "fsx": "fsharp", "vb": "vbnet", "sh": "shell", "bash": "shell", "zsh": "shell", "ps1": "powershell", "sql": "sql",
+    "html": "html", "css": "css", "scss": "scss", "vue": "vue", "svelte": "svelte", "xml": "xml", "yaml": "yaml", "yml": "yaml", "toml": "toml",
+}
+FILE_NAMES = {
+    "compile_commands.json": "native_build", "cmakelists.txt": "native_build", "makefile": "native_build", "dockerfile": "dockerfile", "gemfile": "ruby_project", "rakefile": "ruby_project",
+    "go.mod": "go_project", "cargo.toml": "rust_project", "composer.json": "php_project", "pubspec.yaml": "dart_project", "mix.exs": "elixir_project", "package.swift": "swift_project",
 }
-FILE_NAMES = {"dockerfile": "docker", "makefile": "make", "cmakelists.txt": "cmake"}
 #: Parts of a path that mark a test. Fixed values.
 TEST_MARKERS = ("/test/", "/tests/", "/__tests__/", "/spec/", "test_", "_test.", ".test.", ".spec.", "tests.")
 
@@ -85,6 +94,28 @@ def is_minified(text: Column, least_bytes: int = 5000, most_lines: int = 20, lon
     return (F.octet_length(text) >= least_bytes) & (F.size(lines) <= most_lines) & (F.array_max(F.transform(lines, F.length)) >= longest)
 
 
+def parameter_count(signature: Column) -> Column:
+    """Parameters between the first parentheses, self and cls not counted."""
+    inner = F.regexp_extract(signature, r"\(([^()]*)\)", 1)
+    names = F.transform(F.split(inner, ","), F.trim)
+    return F.size(F.filter(names, lambda x: (x != "") & ~x.isin("self", "cls")))
+
+
+def return_type(signature: Column) -> Column:
+    """What stands behind the arrow of a signature, empty if nothing does."""
+    return F.trim(F.regexp_extract(signature, r"->\s*([^:{]+)", 1))
+
+
+def unique_capped(values: Column, most: int) -> Column:
+    """The first most distinct values that aren't blank, in their order."""
+    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != "")), 1, most)
+
+
+def any_in(text: Column, *parts: str) -> Column:
+    """Whether text contains one of the parts."""
+    return F.exists(F.array(*[F.lit(x) for x in parts]), lambda x: F.contains(text, x))
+
+
 def joined(values: Column) -> Column:
     """An array of strings as sorted text."""
     return F.array_join(F.sort_array(values), ",")

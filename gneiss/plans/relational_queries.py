@@ -20,11 +20,11 @@ def s1_scan(spark, sf_dir):
     return Tables(spark, sf_dir).files.where("language is not null").select("path", "language", "size_bytes", "sha256")
 
 
-@query("s2_language", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'c' WHEN 3 THEN 'docker' WHEN 4 THEN 'cpp' END AS language FROM pages""")
+@query("s2_language", """SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'python' WHEN 1 THEN 'tsx' WHEN 2 THEN 'c' WHEN 3 THEN 'dockerfile' WHEN 4 THEN 'cpp' WHEN 6 THEN 'rust_project' WHEN 7 THEN 'object_pascal_form' WHEN 8 THEN 'typescript' WHEN 9 THEN 'go_project' WHEN 10 THEN 'kotlin' WHEN 11 THEN 'native_build' END AS language FROM pages""")
 def s2_language(spark, sf_dir):
-    names = F.array(*[F.lit(x) for x in ("a/b.py", "src/x.test.TSX", "lib/y.h", "deploy/Dockerfile", "z.hpp", "data.unknown")])
+    names = F.array(*[F.lit(x) for x in ("a/b.py", "src/x.test.TSX", "lib/y.h", "deploy/Dockerfile", "z.hpp", "data.unknown", "x/Cargo.toml", "Main.DFM", "a.js", "go.mod", "b.gradle.kts", "CMakeLists.txt")])
     pages = Tables(spark, sf_dir).raw("pages")
-    return pages.select("page_id", S.language_of(names[(F.col("page_id") % 6).cast("int")]).alias("language"))
+    return pages.select("page_id", S.language_of(names[(F.col("page_id") % 12).cast("int")]).alias("language"))
 
 
 @query("s3_ignore_rules", with_tables("files", r"SELECT path FROM files WHERE NOT (regexp_matches(path, '^src1.*$') OR regexp_matches(path, '^(.*/)?doc_.7$'))"))
@@ -149,8 +149,8 @@ def f8_noise_references(spark, sf_dir):
     return Tables(spark, sf_dir).symbols.where((F.length("name") > 8) & ~F.col("name").isin("order.1-URGENT", "ARGENTINA")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-_HINTS = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ',')".format(", ".join(f"CASE WHEN regexp_matches(lower({{p}}), '{p}') THEN '{h}' END" for h, p, _ in C.PATH_RULES))
-_RISKY = "(" + " OR ".join(f"regexp_matches(lower({{p}}), '{p}')" for _, p, high in C.PATH_RULES if high) + ")"
+_HINTS = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ',')".format(", ".join(f"CASE WHEN regexp_matches(lower({{p}}), '{p}') THEN '{h}' END" for h, p, *_ in C.PATH_RULES))
+_RISKY = "(" + " OR ".join(f"regexp_matches(lower({{p}}), '{p}')" for _, p, high, _ in C.PATH_RULES if high) + ")"
 _TOUCHED = "SELECT CASE l_suppkey % 4 WHEN 0 THEN 'src/auth/s' WHEN 1 THEN 'app/config/s' WHEN 2 THEN 'lib/core/s' ELSE 'tests/unit/s' END || l_suppkey AS file_path, count(DISTINCT l_partkey) % 10 AS n_symbols, count(*) % 3 AS n_impacted FROM lineitem GROUP BY l_suppkey"
 
 
