@@ -20,9 +20,3 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return register
-
-
-def whole(name: str) -> None:
-    """Registers the query name, a (spark, sf_dir, only) -> DataFrame function, over all rows too; its SQL has the rows ``only``."""
-    f = QUERIES[name]
-    query(f"{name}_whole")(lambda spark, sf_dir: f(spark, sf_dir, "true"))

@@ -75,12 +75,13 @@ class Tables:
             e=self.raw("events"),
         )
 
-    def nation_edges(self, only: str) -> DataFrame:
-        """Nations linked if a supplier of one sells a part, of those in only, that a supplier of the other sells too: a small undirected graph."""
+    @property
+    def nation_edges(self) -> DataFrame:
+        """Nations linked if a supplier of one sells a part that a supplier of the other sells too: a small undirected graph."""
         return self.spark.sql(
-            f"""select distinct least(a.n, b.n) as source, 'CALLS' as relation, greatest(a.n, b.n) as target
-            from (select distinct l_partkey as p, s_nationkey as n from {{l}} join {{s}} on l_suppkey = s_suppkey where {only}) a
-            join (select distinct l_partkey as p, s_nationkey as n from {{l}} join {{s}} on l_suppkey = s_suppkey where {only}) b on a.p = b.p and a.n < b.n""",
+            """select distinct least(a.n, b.n) as source, 'CALLS' as relation, greatest(a.n, b.n) as target
+            from (select distinct l_partkey as p, s_nationkey as n from {l} join {s} on l_suppkey = s_suppkey) a
+            join (select distinct l_partkey as p, s_nationkey as n from {l} join {s} on l_suppkey = s_suppkey) b on a.p = b.p and a.n < b.n""",
             l=self.raw("lineitem"), s=self.raw("supplier"),
         )
 
@@ -103,7 +104,7 @@ SQL = {
         UNION ALL SELECT 's' || s_suppkey, 'HAS_PROPERTY', 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'EXTENDS', 'r' || n_regionkey FROM nation""",
     "event_edges": """SELECT DISTINCT event_type AS source, 'IMPORTS' AS relation, next AS target FROM
         (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL AND next <> event_type""",
-    "sold": "SELECT DISTINCT l_partkey AS p, s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 40 = 0",
+    "sold": "SELECT DISTINCT l_partkey AS p, s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "nation_edges": "SELECT DISTINCT a.n AS source, 'CALLS' AS relation, b.n AS target FROM sold AS a JOIN sold AS b ON a.p = b.p AND a.n < b.n",
     "steps": "SELECT conv_id AS process_id, turn AS step, role || '.' || split_part(text, ' ', 1) AS symbol FROM conversations",
 }

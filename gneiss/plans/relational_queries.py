@@ -9,7 +9,7 @@ from gneiss.functions import scalar as S
 from gneiss.operators import change as C
 from gneiss.operators import graph as G
 from gneiss.operators import relational as R
-from gneiss.plans.catalog import query, whole
+from gneiss.plans.catalog import query
 from gneiss.plans.projections import Tables, with_tables
 
 # --- scans and sinks ---
@@ -238,18 +238,16 @@ def j7_neighbour_chunks(spark, sf_dir):
 
 
 @query("j9_enclosing_symbols", with_tables("symbols", """
-fr AS (SELECT event_id AS frame_id, 'Brand#' || (11 + event_id % 5) AS file_path, CAST(floor(value) AS INT) * 3 AS line FROM events WHERE event_id < 300),
+fr AS (SELECT event_id AS frame_id, 'Brand#' || (11 + event_id % 5) AS file_path, CAST(floor(value) AS INT) * 3 AS line FROM events),
 x AS (SELECT frame_id, qualified_name, coalesce(line BETWEEN start_line AND end_line, false) AS inside, start_line, end_line FROM fr LEFT JOIN symbols USING (file_path)),
 r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY inside DESC, CASE WHEN inside THEN end_line - start_line END NULLS LAST, start_line NULLS LAST, qualified_name NULLS LAST) AS k FROM x)
 ||select||SELECT frame_id, qualified_name, inside FROM r WHERE k = 1"""))
-def j9_enclosing_symbols(spark, sf_dir, only="event_id < 300"):
+def j9_enclosing_symbols(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    frames = t.raw("events").where(only).select(F.col("event_id").alias("frame_id"), F.concat(F.lit("Brand#"), 11 + F.col("event_id") % 5).alias("file_path"), (F.floor("value").cast("int") * 3).alias("line"))
+    frames = t.raw("events").select(F.col("event_id").alias("frame_id"), F.concat(F.lit("Brand#"), 11 + F.col("event_id") % 5).alias("file_path"), (F.floor("value").cast("int") * 3).alias("line"))
     return R.enclosing_symbols(frames, t.symbols).select("frame_id", "qualified_name", "inside")
 
 
-whole("j9_enclosing_symbols")
-
 
 @query("j10_dead_code", with_tables("symbols edges", """
 SELECT qualified_name, kind FROM symbols WHERE qualified_name NOT IN (SELECT target FROM edges WHERE relation IN ('CALLS', 'REFERENCES', 'EXTENDS')) AND kind NOT IN ('module', 'exports', 'entry_point', 'test_file')"""))
@@ -280,13 +278,11 @@ def j13_chunk_diff(spark, sf_dir):
     return R.id_changes(files.where("m % 2 = 0 or m % 3 = 0"), files.where("m % 2 = 1"), "sha256").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j18_shared_members", "WITH m AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS i FROM lineitem WHERE l_suppkey <= 40), f AS (SELECT * FROM m WHERE i IN (SELECT i FROM m GROUP BY i HAVING count(*) <= 6)) SELECT a.g AS left_id, b.g AS right_id, a.i AS item FROM f AS a JOIN f AS b ON a.i = b.i AND a.g < b.g")
-def j18_shared_members(spark, sf_dir, only="l_suppkey <= 40"):
-    m = Tables(spark, sf_dir).raw("lineitem").where(only).select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("item"))
-    return R.shared_members(m, "g", "item", 6)
-
+@query("j18_shared_members", "WITH m AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS i FROM lineitem), f AS (SELECT * FROM m WHERE i IN (SELECT i FROM m GROUP BY i HAVING count(*) <= 24)) SELECT a.g AS left_id, b.g AS right_id, a.i AS item FROM f AS a JOIN f AS b ON a.i = b.i AND a.g < b.g")
+def j18_shared_members(spark, sf_dir):
+    m = Tables(spark, sf_dir).raw("lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("item"))
+    return R.shared_members(m, "g", "item", 24)
 
-whole("j18_shared_members")
 
 
 @query("j19_cross_repo", "SELECT p.p_partkey AS left_id, s.s_suppkey AS right_id FROM part AS p JOIN supplier AS s ON p.p_partkey % 10 = CAST(right(s.s_name, 1) AS INT) AND p.p_partkey % 100 = s.s_suppkey")

@@ -8,7 +8,7 @@ from gneiss.functions import scalar as S
 from gneiss.operators import parsers, reports, retrieval, rules
 from gneiss.operators import relational as R
 from gneiss.operators import text as T
-from gneiss.plans.catalog import query, whole
+from gneiss.plans.catalog import query
 from gneiss.plans.projections import Tables, with_tables
 
 
@@ -78,14 +78,12 @@ def f13_boundary_roles(spark, sf_dir):
     return Tables(spark, sf_dir).raw("pages").select("page_id", rules.boundary_role(names[(F.col("page_id") % 5).cast("int")], F.lit("x")).alias("role"))
 
 
-@query("j16_declarations", "WITH s AS (SELECT l_suppkey AS g, 'm' || (l_partkey % 7) AS name, l_orderkey AS q, l_linenumber = 1 AND l_orderkey % 40 = 0 AS d FROM lineitem WHERE l_suppkey <= 20), u AS (SELECT g, name, min(q) AS definition FROM s WHERE d GROUP BY ALL HAVING count(*) = 1) SELECT q AS declaration, definition FROM s JOIN u USING (g, name) WHERE NOT d")
-def j16_declarations(spark, sf_dir, only="l_suppkey <= 20"):
-    s = Tables(spark, sf_dir).raw("lineitem").where(only)
+@query("j16_declarations", "WITH s AS (SELECT l_suppkey AS g, 'm' || (l_partkey % 7) AS name, l_orderkey AS q, l_linenumber = 1 AND l_orderkey % 40 = 0 AS d FROM lineitem), u AS (SELECT g, name, min(q) AS definition FROM s WHERE d GROUP BY ALL HAVING count(*) = 1) SELECT q AS declaration, definition FROM s JOIN u USING (g, name) WHERE NOT d")
+def j16_declarations(spark, sf_dir):
+    s = Tables(spark, sf_dir).raw("lineitem")
     return rules.declaration_pairs(s.select(F.col("l_suppkey").alias("group"), F.concat(F.lit("m"), F.col("l_partkey") % 7).alias("name"), F.col("l_orderkey").alias("qualified_name"), F.expr("l_linenumber = 1 and l_orderkey % 40 = 0").alias("is_definition")))
 
 
-whole("j16_declarations")
-
 
 @query("j17_overrides", "WITH e AS (SELECT n_nationkey AS child, n_regionkey AS parent FROM nation), m AS (SELECT DISTINCT s_nationkey AS owner, s_suppkey % 5 AS method FROM supplier) SELECT DISTINCT child, parent, a.method FROM e JOIN m AS a ON a.owner = child JOIN m AS b ON b.owner = parent AND b.method = a.method")
 def j17_overrides(spark, sf_dir):
@@ -156,17 +154,15 @@ def r9_graph_boost(spark, sf_dir):
     return Tables(spark, sf_dir).edges.where("source like 's%' or source like 'n%'").select("source", "target", rules.graph_boost(F.col("relation"), F.lit(2)).alias("boost"))
 
 
-@query("r25_source_context", with_tables("files", "SELECT path, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS context, CASE WHEN language = 'en' THEN 'range' ELSE 'file' END AS origin FROM files WHERE modified_time < 200"))
-def r25_source_context(spark, sf_dir, only="modified_time < 200"):
-    files = Tables(spark, sf_dir).files.where(only)
+@query("r25_source_context", with_tables("files", "SELECT path, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS context, CASE WHEN language = 'en' THEN 'range' ELSE 'file' END AS origin FROM files"))
+def r25_source_context(spark, sf_dir):
+    files = Tables(spark, sf_dir).files
     first = F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n").alias("context")
     ranged = files.where("language = 'en'").select("path", first, F.lit("range").alias("origin"), F.lit(0).alias("o"))
     whole = files.select("path", first, F.lit("file").alias("origin"), F.lit(1).alias("o"))
     return R.best_per_key(ranged.unionByName(whole), ["path"], [F.asc("o")]).drop("o")
 
 
-whole("r25_source_context")
-
 
 @query("c5_symbol_chunks", with_tables("files", "s AS (SELECT path AS file_path, 'sym' || modified_time AS qualified_name, 2 AS a, 3 AS b FROM files WHERE modified_time % 3 = 0)||select||SELECT file_path, qualified_name, sha256(array_to_string(list_slice(string_split(text, chr(10)), a, b), chr(10))) AS content_hash FROM s JOIN files ON path = file_path UNION ALL SELECT path, 'module', sha256(text) FROM files WHERE modified_time % 3 <> 0"))
 def c5_symbol_chunks(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import scalar as S
 from gneiss.operators import text as T
-from gneiss.plans.catalog import query, whole
+from gneiss.plans.catalog import query
 from gneiss.plans.projections import Tables, with_tables
 
 _CHUNKS = """parts AS (SELECT path, string_split(text, chr(10)) AS l, unnest(range(1, greatest(1, len(string_split(text, chr(10))) - 4) + 1, 16)) AS a FROM files),
@@ -29,69 +29,57 @@ def c4_omitted_chunks(spark, sf_dir):
     return Tables(spark, sf_dir).files.where("size_bytes > 8000").select("path", (F.length("text") > 12000).alias("omitted"))
 
 
-_SOURCE = "SELECT 'f' || p_partkey AS path, 'import ' || replace(p_name, ' ', '.') || chr(10) || 'class C' || p_size || ':' || chr(10) || '    def m' || (p_partkey % 7) || '(self):' || chr(10) || 'async def g(x):' || chr(10) || 'const k' || p_size || ' = 1' AS text FROM part WHERE p_partkey % 4 = 0"
+_SOURCE = "SELECT 'f' || p_partkey AS path, 'import ' || replace(p_name, ' ', '.') || chr(10) || 'class C' || p_size || ':' || chr(10) || '    def m' || (p_partkey % 7) || '(self):' || chr(10) || 'async def g(x):' || chr(10) || 'const k' || p_size || ' = 1' AS text FROM part"
 
 
-def _source(spark, sf_dir, only):
+def _source(spark, sf_dir):
     parts = (F.lit("import "), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("\nclass C"), F.col("p_size"), F.lit(":\n    def m"), F.col("p_partkey") % 7, F.lit("(self):\nasync def g(x):\nconst k"), F.col("p_size"), F.lit(" = 1"))
-    return Tables(spark, sf_dir).raw("part").where(only).select(F.concat(F.lit("f"), "p_partkey").alias("path"), F.concat(*parts).alias("text"))
+    return Tables(spark, sf_dir).raw("part").select(F.concat(F.lit("f"), "p_partkey").alias("path"), F.concat(*parts).alias("text"))
 
 
 @query("p7_generic_symbols", f"""WITH s AS ({_SOURCE}) SELECT path AS file_path, 'function' AS kind, unnest(list_distinct(regexp_extract_all(text, '(?m)^[ \\t]*(?:async )?def ([A-Za-z_]\\w*)', 1))) AS name FROM s
 UNION ALL SELECT path, 'class', unnest(regexp_extract_all(text, '(?m)^[ \\t]*class ([A-Za-z_]\\w*)', 1)) FROM s UNION ALL SELECT path, 'constant', unnest(regexp_extract_all(text, '(?m)^[ \\t]*const ([A-Za-z_]\\w*) *=', 1)) FROM s""")
-def p7_generic_symbols(spark, sf_dir, only="p_partkey % 4 = 0"):
-    return T.generic_symbols(_source(spark, sf_dir, only))
+def p7_generic_symbols(spark, sf_dir):
+    return T.generic_symbols(_source(spark, sf_dir))
 
 
-whole("p7_generic_symbols")
 
+@query("p7_generic_imports", "SELECT 'f' || p_partkey AS file_path, replace(p_name, ' ', '.') AS module FROM part")
+def p7_generic_imports(spark, sf_dir):
+    return T.generic_imports(_source(spark, sf_dir))
 
-@query("p7_generic_imports", "SELECT 'f' || p_partkey AS file_path, replace(p_name, ' ', '.') AS module FROM part WHERE p_partkey % 4 = 0")
-def p7_generic_imports(spark, sf_dir, only="p_partkey % 4 = 0"):
-    return T.generic_imports(_source(spark, sf_dir, only))
 
 
-whole("p7_generic_imports")
-
-
-@query("p1_python_symbols", "SELECT 'f' || p_partkey AS file_path, unnest(['C' || p_size, 'C' || p_size || '.m' || (p_partkey % 7)]) AS qualified_name, unnest(['class', 'method']) AS kind, unnest([1, 2]) AS start_line, unnest(['', 'self.n']) AS calls FROM part WHERE p_partkey % 4 = 0")
-def p1_python_symbols(spark, sf_dir, only="p_partkey % 4 = 0"):
+@query("p1_python_symbols", "SELECT 'f' || p_partkey AS file_path, unnest(['C' || p_size, 'C' || p_size || '.m' || (p_partkey % 7)]) AS qualified_name, unnest(['class', 'method']) AS kind, unnest([1, 2]) AS start_line, unnest(['', 'self.n']) AS calls FROM part")
+def p1_python_symbols(spark, sf_dir):
     parts = (F.lit("class C"), F.col("p_size"), F.lit(":\n    def m"), F.col("p_partkey") % 7, F.lit("(self):\n        return self.n()\n"))
-    files = Tables(spark, sf_dir).raw("part").where(only).select(F.concat(F.lit("f"), "p_partkey").alias("path"), F.concat(*parts).alias("text"))
+    files = Tables(spark, sf_dir).raw("part").select(F.concat(F.lit("f"), "p_partkey").alias("path"), F.concat(*parts).alias("text"))
     found = T.python_symbols(files)
     return found.select("file_path", "qualified_name", "kind", "start_line", F.when(F.col("kind") == "class", "").otherwise(F.array_join("calls", ",")).alias("calls"))
 
 
-whole("p1_python_symbols")
 
-
-@query("g1_graph_build", "SELECT 'f' || p_partkey AS source, 'DEFINES' AS relation, unnest(['C' || p_size, 'C' || p_size || '.m']) AS target FROM part WHERE p_partkey % 4 = 0 UNION SELECT unnest(['C' || p_size, 'C' || p_size || '.m']), 'CALLS', 'self.n' FROM part WHERE p_partkey % 4 = 0 UNION SELECT 'C' || p_size, 'EXTENDS', 'Base' FROM part WHERE p_partkey % 4 = 0")
-def g1_graph_build(spark, sf_dir, only="p_partkey % 4 = 0"):
+@query("g1_graph_build", "SELECT 'f' || p_partkey AS source, 'DEFINES' AS relation, unnest(['C' || p_size, 'C' || p_size || '.m']) AS target FROM part UNION SELECT unnest(['C' || p_size, 'C' || p_size || '.m']), 'CALLS', 'self.n' FROM part UNION SELECT 'C' || p_size, 'EXTENDS', 'Base' FROM part")
+def g1_graph_build(spark, sf_dir):
     parts = (F.lit("class C"), F.col("p_size"), F.lit("(Base):\n    def m(self):\n        return self.n()\n"))
-    files = Tables(spark, sf_dir).raw("part").where(only).select(F.concat(F.lit("f"), "p_partkey").alias("path"), F.concat(*parts).alias("text"))
+    files = Tables(spark, sf_dir).raw("part").select(F.concat(F.lit("f"), "p_partkey").alias("path"), F.concat(*parts).alias("text"))
     return T.parsed_edges(T.python_symbols(files))
 
 
-whole("g1_graph_build")
-
 
-@query("p13_stack_frames", """SELECT event_id AS trace_id, unnest([0, 1]) AS position, unnest(['a/' || event_type || '.py', 'b.py']) AS file, unnest([CAST(user_id AS INT), 7]) AS line, unnest(['run', 'go']) AS function FROM events WHERE event_id % 10 = 0""")
-def p13_stack_frames(spark, sf_dir, only="event_id % 10 = 0"):
+@query("p13_stack_frames", """SELECT event_id AS trace_id, unnest([0, 1]) AS position, unnest(['a/' || event_type || '.py', 'b.py']) AS file, unnest([CAST(user_id AS INT), 7]) AS line, unnest(['run', 'go']) AS function FROM events""")
+def p13_stack_frames(spark, sf_dir):
     text = F.concat(F.lit('Traceback\n  File "a/'), "event_type", F.lit('.py", line '), "user_id", F.lit(', in run\n    x()\n  File "b.py", line 7, in go\nValueError: no'))
-    return T.stack_frames(Tables(spark, sf_dir).raw("events").where(only).select(F.col("event_id").alias("trace_id"), text.alias("text")))
+    return T.stack_frames(Tables(spark, sf_dir).raw("events").select(F.col("event_id").alias("trace_id"), text.alias("text")))
 
 
-whole("p13_stack_frames")
 
-
-@query("p14_diff_lines", "SELECT o_orderkey AS diff_id, 'src/f' || (o_orderkey % 9) AS file_path, CAST(unnest(range(o_orderkey % 50 + 1, o_orderkey % 50 + 1 + o_orderkey % 4)) AS INT) AS line FROM orders WHERE o_orderkey < 2000 UNION SELECT o_orderkey, 'src/f' || (o_orderkey % 9), 900 FROM orders WHERE o_orderkey < 2000")
-def p14_diff_lines(spark, sf_dir, only="o_orderkey < 2000"):
+@query("p14_diff_lines", "SELECT o_orderkey AS diff_id, 'src/f' || (o_orderkey % 9) AS file_path, CAST(unnest(range(o_orderkey % 50 + 1, o_orderkey % 50 + 1 + o_orderkey % 4)) AS INT) AS line FROM orders UNION SELECT o_orderkey, 'src/f' || (o_orderkey % 9), 900 FROM orders")
+def p14_diff_lines(spark, sf_dir):
     k = F.col("o_orderkey")
     text = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/src/f"), k % 9, F.lit("\n@@ -1,2 +"), k % 50 + 1, F.lit(","), k % 4, F.lit(" @@ def f\n-a\n+b\n@@ -9 +900 @@\n+c"))
-    return T.diff_lines(Tables(spark, sf_dir).raw("orders").where(only).select(k.alias("diff_id"), text.alias("text")))
-
+    return T.diff_lines(Tables(spark, sf_dir).raw("orders").select(k.alias("diff_id"), text.alias("text")))
 
-whole("p14_diff_lines")
 
 
 _NORMAL = "CASE WHEN regexp_full_match({0}, '/+') THEN '/' ELSE rtrim({0}, '/') END"
@@ -158,17 +146,15 @@ def b38_snippets(spark, sf_dir):
 
 
 @query("c2_semantic_chunks", with_tables("files recursive", """
-l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM files WHERE modified_time % 2 = 0),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM files),
 e AS (SELECT path, max(i) AS n FROM l GROUP BY path),
 s(path, a) AS (SELECT path, 1::BIGINT FROM e UNION ALL SELECT s.path, (SELECT min(i) FROM l WHERE l.path = s.path AND i - s.a >= 5 AND starts_with(t, 'def ')) FROM s WHERE EXISTS (SELECT 1 FROM l WHERE l.path = s.path AND i - s.a >= 5 AND starts_with(t, 'def ')))
 ||select||SELECT path AS file_path, CAST(a AS INT) AS start_line, CAST(coalesce(lead(a) OVER (PARTITION BY path ORDER BY a) - 1, n) AS INT) AS end_line FROM s JOIN e USING (path)"""))
-def c2_semantic_chunks(spark, sf_dir, only="modified_time % 2 = 0"):
+def c2_semantic_chunks(spark, sf_dir):
     from gneiss.operators.batching import semantic_chunks
 
-    return semantic_chunks(Tables(spark, sf_dir).files.where(only), 5)
-
+    return semantic_chunks(Tables(spark, sf_dir).files, 5)
 
-whole("c2_semantic_chunks")
 
 
 @query("w10_token_batches")

@@ -45,19 +45,18 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def equals_unfiltered(spark, sf_dir, oracle, name, only):
-    """Whether the query over all rows gives what its SQL gives without the filter, and more than with it."""
-    got = catalog.QUERIES[f"{name}_whole"](spark, sf_dir)
-    cursor = oracle.execute(catalog.ORACLES[name].replace(only, "true"))
-    columns = [x[0] for x in cursor.description]
-    rows = canonical([tuple(x) for x in got.collect()], got.columns)
-    assert only in catalog.ORACLES[name] and rows == canonical(cursor.fetchall(), columns)
-    return rows
+WHOLE = """g16_label_propagation a9_cohesion p1_python_symbols p7_generic_symbols p7_generic_imports g1_graph_build p13_stack_frames p14_diff_lines c2_semantic_chunks t9_explain_error j9_enclosing_symbols
+j16_declarations j18_shared_members r25_source_context f10_path_rules f11_symbol_hints b20_explanations a12_weighted_points a23_slice_validation t3_post_change_review r18_question_intents r19_symbol_terms r19_query_variants
+b25_retry r2_graph_candidates g2_resolution b10_ownership b11_referenced_files b32_module_associations b14_code_entry_points b18_graph_contract j23_wrapper_calls b17_handler_rows x15_changed_routes r24_tests_by_calls b28_project_tests r24_found_tests""".split()
 
 
-@pytest.mark.parametrize("name", ["g16_label_propagation", "a9_cohesion"])
-def test_communities_of_all_parts(spark, sf_dir, oracle, name):
-    assert equals_unfiltered(spark, sf_dir, oracle, name, "l_partkey % 40 = 0")
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tables(spark, sf_dir, oracle, name):
+    got = catalog.QUERIES[name](spark, sf_dir)
+    cursor = oracle.execute(catalog.ORACLES[name])
+    columns = [x[0] for x in cursor.description]
+    rows = canonical([tuple(x) for x in got.collect()], got.columns)
+    assert rows == canonical(cursor.fetchall(), columns) and rows
 
 
 def test_nation_edges_of_all_parts(spark, sf_dir, oracle):
@@ -65,14 +64,5 @@ def test_nation_edges_of_all_parts(spark, sf_dir, oracle):
     for part, nation in oracle.execute("SELECT l_partkey, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey").fetchall():
         sold.setdefault(part, set()).add(nation)
     pairs = {(a, b) for nations in sold.values() for a in nations for b in nations if a < b}
-    assert {(x.source, x.target) for x in Tables(spark, sf_dir).nation_edges("true").collect()} == pairs
+    assert {(x.source, x.target) for x in Tables(spark, sf_dir).nation_edges.collect()} == pairs
     assert {str(x) for pair in pairs for x in pair} == {x[0] for x in catalog.QUERIES["g17_communities"](spark, sf_dir).select("node").collect()}
-
-
-@pytest.mark.parametrize(("name", "only"), [
-    *[(x, "p_partkey % 4 = 0") for x in ("p1_python_symbols", "p7_generic_symbols", "p7_generic_imports", "g1_graph_build")], ("p13_stack_frames", "event_id % 10 = 0"), ("p14_diff_lines", "o_orderkey < 2000"),
-    ("c2_semantic_chunks", "modified_time % 2 = 0"), ("t9_explain_error", "event_id % 20 = 0"), ("j9_enclosing_symbols", "event_id < 300"), ("j16_declarations", "l_suppkey <= 20"), ("j18_shared_members", "l_suppkey <= 40"), ("r25_source_context", "modified_time < 200"),
-])
-def test_whole_tables(spark, sf_dir, oracle, name, only):
-    # Every part of this table has more suppliers than j18 allows an item.
-    assert equals_unfiltered(spark, sf_dir, oracle, name, only) or name == "j18_shared_members"
