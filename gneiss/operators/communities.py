@@ -12,10 +12,10 @@ from gneiss.operators.graph import cut
 MOST_ROUNDS, MOST_MEMBERS, LEAST_MEMBERS = 20, 200, 2
 
 
-def connected_parts(adjacent: DataFrame, rounds: int = 50) -> DataFrame:
-    """(a, b) both ways -> node, part: the least node that a node is connected with."""
+def connected_parts(adjacent: DataFrame) -> DataFrame:
+    """(a, b) both ways -> node, part: the least node that a node is connected with. Rounds go on until nothing moves."""
     labels = cut(adjacent.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("part")))
-    for _ in range(rounds):
+    while True:
         seen = adjacent.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("seen"))
         new = labels.join(seen, "node").select("node", F.least("part", "seen").alias("part"), (F.col("seen") < F.col("part")).alias("moved"))
         # A part's own label may have moved on: follow it.
@@ -23,8 +23,7 @@ def connected_parts(adjacent: DataFrame, rounds: int = 50) -> DataFrame:
         new = cut(new.join(hop, "part", "left").select("node", F.coalesce("further", "part").alias("part"), "moved"))
         labels = new.select("node", "part")
         if new.where("moved").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def modularity_groups(neighbours: dict[str, list[str]], rounds: int = MOST_ROUNDS) -> dict[str, str]:

@@ -61,6 +61,8 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str, depth: int, cap: i
     if cap is not None:
         n = F.row_number().over(W.partitionBy("a", "relation").orderBy("b"))
         steps = steps.withColumn("__n", n).where(F.col("__n") <= cap).drop("__n")
+    if depth > 1:
+        steps = cut(steps)  # each level reads what was projected and ranked once
     seen = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("relation")))
     frontier = seen
     for level in range(1, depth + 1):
@@ -98,26 +100,37 @@ def paths(edges: DataFrame, entries: DataFrame, depth: int, branches: int) -> Da
     its branches. A path that can't go on, or is depth steps long, is a result:
     entry, path and the ranks taken, whose order is that of a depth-first search.
     """
-    ranked = edges.select("source", "target").distinct().withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("target"))).where(F.col("rank") <= branches)
+    ranked = cut(edges.select("source", "target").distinct().withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("target"))).where(F.col("rank") <= branches))
     growing = entries.select(F.col("node").alias("entry"), F.array("node").alias("path"), F.array().cast("array<int>").alias("ranks"))
     out = None
     for _ in range(depth):
-        growing = cut(growing)
+        growing = cut(growing.withColumn("id", F.monotonically_increasing_id()))
         if growing.isEmpty():
             break
         longer = growing.withColumn("source", F.element_at("path", -1)).join(ranked, "source").where(~F.array_contains("path", F.col("target")))
-        longer = longer.select("entry", F.concat("path", F.array("target")).alias("path"), F.concat("ranks", F.array(F.col("rank"))).alias("ranks"))
-        longer = cut(longer)
-        went_on = longer.select("entry", F.expr("slice(path, 1, size(path) - 1)").alias("path")).distinct()
-        ended = growing.join(went_on, ["entry", "path"], "left_anti")
+        longer = cut(longer.select("entry", F.concat("path", F.array("target")).alias("path"), F.concat("ranks", F.array(F.col("rank"))).alias("ranks"), F.col("id").alias("from")))
+        ended = growing.join(longer.select(F.col("from").alias("id")).distinct(), "id", "left_anti").drop("id")
         out = ended if out is None else out.unionByName(ended)
-        growing = longer
-    return growing if out is None else out.unionByName(growing)
+        growing = longer.drop("from")
+    return growing.drop("id") if out is None else out.unionByName(growing.drop("id"))
+
+
+def trimmed(steps: DataFrame, rounds: int) -> DataFrame:
+    """(source, target) -> the edges that may lie on a cycle: those with an edge into their source and one out of their target, again and again until nothing goes, or so many times."""
+    steps, left = cut(steps), None
+    for _ in range(rounds):
+        before, left = (left if left is not None else steps.count()), None
+        rest = steps.join(steps.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(steps.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        steps = cut(rest.select("source", "target"))
+        left = steps.count()
+        if left == before:
+            break
+    return steps
 
 
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
     """Simple directed cycles of up to ``longest`` nodes, each once, turned so that its least node comes first."""
-    steps = edges.select("source", "target").distinct().where("source <> target")
+    steps = trimmed(edges.select("source", "target").distinct().where("source <> target"), longest)
     growing = steps.where("source < target").select(F.array("source", "target").alias("path"))
     out = None
     for size in range(2, longest + 1):

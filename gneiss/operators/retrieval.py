@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -59,19 +59,41 @@ def final_score(fused: DataFrame, query: str, content: str | None = None) -> Dat
 def knn(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, rounding: int = 6) -> DataFrame:
     """(id, vector) queries against all of base: the k nearest by cosine, in blocks of a stated query set.
 
-    A block of queries is packed into one array that is sent with the scan of
-    base, and each task keeps its own best k. A block holds about
-    QUERIES_AT_ONCE queries, so that what is sent is bounded; more queries take
-    more scans.
+    A block of about QUERIES_AT_ONCE queries is sent to all tasks, so that what
+    is sent is bounded; more queries take more scans. A task keeps its k best
+    for each query, batch by batch, and only these are shuffled.
     """
-    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    spark, n = base.sparkSession, queries.count()
+    blocks = max(1, -(-n // QUERIES_AT_ONCE))
+    kind = base.schema["id"].dataType.simpleString()
+
+    def unit(vectors: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(vectors, axis=1, keepdims=True)
+        return np.divide(vectors, length, out=np.full_like(vectors, np.nan), where=length > 0)
 
     def block(number: int) -> DataFrame:
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
-        packed = some.agg(F.collect_list(F.struct(F.col("id").alias("qid"), F.col("vector").alias("qv"))).alias("qs"))
-        pairs = base.join(F.broadcast(packed)).select("id", F.explode("qs").alias("q"), "vector").where("q.qid <> id")
-        scored = pairs.select(F.col("q.qid").alias("query_id"), "id", F.round(S.cosine(F.col("q.qv"), F.col("vector")), rounding).alias("similarity"))
-        return best_per_key(scored.where(F.col("similarity") >= least), ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+        some = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)).select("id", F.col("vector").cast("array<double>")).where("id is not null and vector is not null").collect()  # a bounded number
+        if not some:
+            return base.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("similarity")).limit(0)
+        sent = spark.sparkContext.broadcast((np.array([x.id for x in some]), unit(np.array([x.vector for x in some], float))))
+
+        def nearest(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+            ids, wanted = sent.value
+            best_ids, best = np.empty((len(ids), 0), ids.dtype), np.empty((len(ids), 0))
+            for rows in (whole.iloc[at : at + 256] for whole in batches for at in range(0, len(whole), 256)):
+                own = rows["id"].to_numpy()
+                near = np.round(wanted @ unit(np.stack(rows["vector"].to_list()).astype(float)).T, rounding)
+                near[(ids[:, None] == own[None, :]) | ~(near >= least)] = -np.inf
+                all_ids = np.concatenate([best_ids, np.broadcast_to(own, near.shape)], axis=1)
+                near = np.concatenate([best, near], axis=1)
+                order = np.lexsort((all_ids, -near), axis=1)[:, :k]
+                best_ids, best = np.take_along_axis(all_ids, order, 1), np.take_along_axis(near, order, 1)
+            keep = best > -np.inf
+            yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), "id": best_ids[keep], "similarity": best[keep]})
+
+        usable = base.select("id", F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+        found = usable.mapInPandas(nearest, f"query_id {kind}, id {kind}, similarity double")
+        return best_per_key(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
     return reduce(DataFrame.unionByName, map(block, range(blocks)))
 
