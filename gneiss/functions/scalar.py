@@ -97,7 +97,7 @@ def is_minified(text: Column, least_bytes: int = 5000, most_lines: int = 20, lon
 def parameter_count(signature: Column) -> Column:
     """Parameters between the first parentheses, self and cls not counted."""
     inner = F.regexp_extract(signature, r"\(([^()]*)\)", 1)
-    names = F.transform(F.split(inner, ","), F.trim)
+    names = F.transform(F.split(inner, ","), lambda x: F.trim(x))
     return F.size(F.filter(names, lambda x: (x != "") & ~x.isin("self", "cls")))
 
 
@@ -108,7 +108,7 @@ def return_type(signature: Column) -> Column:
 
 def unique_capped(values: Column, most: int) -> Column:
     """The first most distinct values that aren't blank, in their order."""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
 def any_in(text: Column, *parts: str) -> Column:

@@ -57,7 +57,7 @@ def slices(files: DataFrame) -> DataFrame:
     """(file_path, route, risk, n_tests, n_consumers, n_fields, n_processes, n_mismatches) of changed files -> a row for each slice, by order."""
     rows = files.withColumn("slice_id", slice_of(F.col("file_path"), F.col("route")))
     per = rows.groupBy("slice_id").agg(
-        F.count(F.lit(1)).alias("n_files"), F.min("file_path").alias("first_file"), F.element_at(F.array(*[F.lit(x) for x in RISKS]), F.max(risk_rank(F.col("risk"))).cast("int")).alias("risk"),
+        F.count(F.lit(1)).alias("n_files"), F.min("file_path").alias("first_file"), F.element_at(F.array(*[F.lit(x) for x in RISKS]), F.coalesce(F.max(risk_rank(F.col("risk"))), F.lit(1)).cast("int")).alias("risk"),
         F.countDistinct(F.nullif("route", F.lit(""))).alias("n_routes"), *[F.sum(c).alias(c) for c in ("n_tests", "n_consumers", "n_fields", "n_processes", "n_mismatches")],
     )
     return per.withColumn("position", slice_order(F.col("slice_id"))).withColumn("title", commit_title(F.col("slice_id")))
@@ -79,7 +79,7 @@ def validated(rows: DataFrame, broad_limited: bool = False) -> DataFrame:
 def readiness(rows: DataFrame, broad_limited: bool = False) -> DataFrame:
     """validated slices -> one row: whether the whole change is ready, counts by status, and the highest risks before and after."""
     risky = F.col("risk").isin("HIGH", "CRITICAL")
-    highest = lambda c: F.coalesce(F.element_at(F.array(*[F.lit(x) for x in RISKS]), F.max(risk_rank(F.col(c))).cast("int")), F.lit("LOW"))
+    highest = lambda c: F.element_at(F.array(*[F.lit(x) for x in RISKS]), F.coalesce(F.max(risk_rank(F.col(c))), F.lit(1)).cast("int"))
     one = rows.agg(
         *[F.count_if(F.col("status") == x).alias(x) for x in ("ready", "needs_validation", "blocked")], F.count_if(risky & (F.col("status") != "ready")).alias("unvalidated"),
         highest("risk").alias("risk"), highest("residual_risk").alias("risk_after_validation"), F.coalesce(F.sum("n_mismatches"), F.lit(0)).alias("mismatches"),

@@ -15,7 +15,10 @@ from gneiss.operators.retrieval import hash_vector
 from gneiss.sources.files import SnapshotTable, scan_repository
 
 #: Language -> registered parser; Python has its own, and the rest are parsed by general patterns.
-PARSER_OF = {"typescript": "typescript", "javascript": "typescript", "csharp": "csharp", "c": "c_family", "cpp": "c_family", "pascal": "pascal"}
+PARSER_OF = {
+    "typescript": "typescript", "tsx": "typescript", "csharp": "csharp", "c": "c_family", "cpp": "c_family", "object_pascal": "pascal", "object_pascal_project": "pascal", "object_pascal_package": "pascal",
+    "object_pascal_form": "pascal_form", "csharp_project": "project", "csharp_solution": "project", "native_project": "project", "native_build": "project",
+}
 TABLES = ("files", "symbols", "edges", "chunks", "vectors", "runs")
 
 
