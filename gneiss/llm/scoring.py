@@ -34,6 +34,8 @@ HEAD, NEURAL = 150_000, 1_000
 ROUNDS, TRAINERS, DEALT = 2, 64, 2048
 #: Tokens that a task gathers before it scores their documents together; distinct words that it counts before it hands them on.
 TOGETHER, _FLUSH = 1 << 21, 300_000
+#: Bytes of a block of weights.
+_BLOCK = 1 << 16
 #: The end of a document among words; no word is empty.
 END_WORD = b""
 
@@ -176,16 +178,35 @@ def trained(docs: DataFrame, words: Vocabulary) -> bytes:
                         yield ids
 
             network.train(texts())
-            if seen:
-                yield pa.RecordBatch.from_pydict({"seen": [seen], "weights": [network.blob()]})
-
-        got = dealt(docs, k, trainers, "ids").mapInArrow(train, "seen long, weights binary").collect()  # a bounded number of trainers
-        if got:
-            total = sum(x.seen for x in got)
-            weights = sum(np.frombuffer(x.weights, "f4").astype("f8") * (x.seen / total) for x in got).astype("f4").tobytes()
+            blob, trainer = network.blob(), TaskContext.get().partitionId()
+            for block in range(0, len(blob) if seen else 0, _BLOCK):
+                yield pa.RecordBatch.from_pydict({"block": [block], "trainer": [trainer], "seen": [seen], "weights": [blob[block : block + _BLOCK]]})
+
+        parts = dealt(docs, k, trainers, "ids").mapInArrow(train, "block long, trainer long, seen long, weights binary")
+        # Weights are averaged block by block where they are; the driver gets one network.
+        got = parts.repartition("block").sortWithinPartitions("block", "trainer").mapInArrow(_averaged, "block long, weights binary").collect()
+        weights = b"".join(x.weights for x in sorted(got, key=lambda x: x.block)) or weights
     return weights
 
 
+def _averaged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, trainer, seen, weights) in order -> each block's weights, averaged by the tokens seen."""
+    block, total, weighed = None, 0, np.zeros(0)
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"block": [block], "weights": [(weighed / total).astype("f4").tobytes()]})
+
+    for batch in batches:
+        for x in batch.to_pylist():
+            if x["block"] != block:
+                if block is not None:
+                    yield done()
+                block, total, weighed = x["block"], 0, 0.0
+            total, weighed = total + x["seen"], weighed + np.frombuffer(x["weights"], "f4").astype("f8") * x["seen"]
+    if block is not None:
+        yield done()
+
+
 def likelihoods(codes: DataFrame, words: Vocabulary, weights: bytes) -> DataFrame:
     """encoded rows -> rid and score, the network's log10 probability of the ids."""
     sent = codes.sparkSession.sparkContext.broadcast((words.neural_counts, weights))
