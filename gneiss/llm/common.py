@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -108,19 +109,22 @@ def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
     return counts.where(step >= bound) if bound is not None else counts.limit(0)
 
 
-def most_frequent_by(counts: DataFrame, by: str, most: int, n: str = "n") -> DataFrame:
-    """most_frequent for each value of by, of which there are few."""
+def is_frequent(counts: DataFrame, by: list[str], most: Callable[[tuple], int], n: str = "n") -> Column:
+    """Whether a row is one of the most frequent of its values of by, of which there are few: most_frequent for each of them."""
     step = F.floor(F.log2(F.col(n)) * 16)
     total, bound, full = {}, {}, set()
-    for x in counts.groupBy(by, step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect():
-        total[x[by]] = total.get(x[by], 0) + x.rows
-        if total[x[by]] > most:
-            full.add(x[by])
-        if x[by] not in full:
-            bound[x[by]] = x.step
+    for x in counts.groupBy(*by, step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect():
+        key = tuple(x[c] for c in by)
+        total[key] = total.get(key, 0) + x.rows
+        if total[key] > most(key):
+            full.add(key)
+        if key not in full:
+            bound[key] = x.step
     if not bound:
-        return counts.limit(0)
-    return counts.where(step >= F.element_at(F.create_map(*[F.lit(y) for x in bound.items() for y in x]), F.col(by)))
+        return F.lit(False)
+    texts = {"\u0001".join(map(str, key)): value for key, value in bound.items()}
+    least = F.create_map(*[F.lit(y) for x in texts.items() for y in x])[F.concat_ws("\u0001", *[F.col(c).cast("string") for c in by])]
+    return F.coalesce(step >= least, F.lit(False))
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

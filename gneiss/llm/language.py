@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gneiss.llm.arrow import OUT, annotated, small_batches
-from gneiss.llm.common import most_frequent_by, set_aside, stored, table
+from gneiss.llm.common import is_frequent, set_aside, stored, table
 
 #: Training documents of each language at most (those with the lowest hashes); words of each language, and n-grams of each language and length, that the tables take.
 DOCS_PER_LANGUAGE, WORDS, GRAMS, LONGEST = 4_000, 100_000, 40_000, 5
@@ -69,19 +69,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Model:
     """Per-language log frequencies of words and character n-grams. Its size is bounded by the table sizes above for each language."""
 
-    def __init__(self, languages: list[str], words: dict[str, dict[str, int]], grams: list[dict[str, dict[str, int]]]):
+    def __init__(self, languages: list[str], tables: list[tuple[list[str], np.ndarray]]):
+        """tables: keys, and their counts in each language in order; words first, then n-grams by length."""
         self.languages = sorted(languages)
-        self.words = self._table(words)
-        self.grams = [self._table(x) for x in grams]
-
-    def _table(self, counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
-        keys = {key: i for i, key in enumerate(sorted(counts))}
-        n = np.zeros((len(keys), len(self.languages)), "f4")
-        place = {x: i for i, x in enumerate(self.languages)}
-        for key, by in counts.items():
-            for lang, c in by.items():
-                n[keys[key], place[lang]] = c
-        return keys, np.log((n + 0.1) / (n.sum(0) + 0.1 * (len(keys) + 1))).astype("f4")
+        self.words, *self.grams = (self._table(*x) for x in tables)
+
+    @staticmethod
+    def _table(keys: list[str], n: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        return {key: i for i, key in enumerate(keys)}, np.log((n + 0.1) / (n.sum(0) + 0.1 * (len(keys) + 1))).astype("f4")
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
@@ -141,23 +136,34 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     drawn = hashed.select("lang", "h").withColumn("k", rank).where(F.col("k") <= docs_per_language)
     last = {x.lang: (x.h, x.n) for x in drawn.groupBy("lang").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not last:
-        return Model([], {}, [{} for _ in range(LONGEST)])
+        return Model([], [([], np.zeros((0, 0))) for _ in range(LONGEST + 1)])
     bound = F.element_at(F.create_map(*[F.lit(y) for lang, (h, _) in last.items() for y in (lang, h)]), F.col("lang"))
     counts = stored(word_counts(hashed.where(F.col("h") <= bound)), "language-words")
-    grams = counts.select("lang", "n", F.explode(F.expr(
-        f"flatten(transform(sequence(1, {LONGEST}), k -> transform(sequence(1, greatest(length(if(k > 1, concat(' ', word, ' '), word)) - k + 1, 0)),"
-        " i -> struct(k as k, substring(if(k > 1, concat(' ', word, ' '), word), i, k) as key))))"
-    )).alias("g")).where("length(g.key) = g.k").groupBy("lang", "g.k", "g.key").agg(F.sum("n").alias("n"))
-    grams = stored(grams, "language-grams")
-
-    def top(rows: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-        often = most_frequent_by(rows, "lang", most).select(key).distinct()
-        every = rows.join(often, key, "left_semi").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return {x[key]: x["by"] for x in every.collect()}  # at most that many for each language
-
+    # Words (k = 0) and n-grams are counted, ranked and fetched together.
+    keys = F.expr(
+        f"concat(array(struct(0 as k, word as key)), flatten(transform(sequence(1, {LONGEST}), k -> transform(sequence(1, greatest(length(if(k > 1, concat(' ', word, ' '), word)) - k + 1, 0)),"
+        " i -> struct(k as k, substring(if(k > 1, concat(' ', word, ' '), word), i, k) as key)))))"
+    )
+    entries = counts.select("lang", "n", F.inline(keys)).where("k = 0 or length(key) = k").groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
     # What occurs once is noise in a drawn sample, but may be all there is of a small language.
-    seen = counts.where((F.col("n") > 1) | F.col("lang").isin([lang for lang, (_, n) in last.items() if n < docs_per_language]))
-    return Model(list(last), top(seen, "word", WORDS), [top(grams.where(F.col("k") == k), "key", GRAMS) for k in range(1, LONGEST + 1)])
+    small = [lang for lang, (_, n) in last.items() if n < docs_per_language]
+    entries = stored(entries.where((F.col("k") > 0) | (F.col("n") > 1) | F.col("lang").isin(small)), "language-entries")
+    often = is_frequent(entries, ["lang", "k"], lambda key: WORDS if key[1] == 0 else GRAMS)
+    languages = sorted(last)
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    tables = entries.groupBy("k", "key").agg(by.alias("by"), F.bool_or(often).alias("often")).where("often")
+    counts_of = F.transform(F.array(*[F.lit(x) for x in languages]), lambda x: F.coalesce(F.col("by")[x], F.lit(0)))
+    # At most WORDS and GRAMS rows for each language, as columns: few bytes each.
+    found = tables.select("k", "key", counts_of.alias("n")).toArrow().combine_chunks()
+    k = found.column("k").to_numpy()
+    n = found.column("n").combine_chunks().flatten().to_numpy().reshape(-1, len(languages))
+    parts = []
+    for i in range(LONGEST + 1):
+        rows = np.flatnonzero(k == i)
+        keys = found.column("key").take(rows).to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        parts.append(([keys[j] for j in order], n[rows[order]].astype("f4")))
+    return Model(languages, parts)
 
 
 def identified(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ found in a task leaves it; components come from alternating star joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gneiss.llm.arrow import OUT, annotated, small_batches
+from gneiss.llm.arrow import OUT, annotated
 from gneiss.llm.common import counted, in_parts, set_aside, stored, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -94,6 +94,24 @@ def _forest(home: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarra
     return nodes[linked], nodes[least[linked]]
 
 
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (fp, tile, chunk, part, visits) in the order of their cells -> fp and visits of one cell after another."""
+    rest = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        columns[0] = columns[0].view("u8")
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        starts = 1 + np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns[1:4]])) if len(columns[0]) else np.zeros(0, int)
+        at = 0
+        for end in starts:
+            yield columns[0][at:end], columns[4][at:end]
+            at = end
+        rest = [x[at:] for x in columns]
+    if rest is not None and len(rest[0]):
+        yield rest[0], rest[4]
+
+
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """(fp) distinct, n of them -> edges (a, b) whose components are those of all links within the radius."""
     blocks = next(b for most, b in BLOCKS if n <= most)
@@ -115,13 +133,13 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     visit = visit.select("fp", "tile", spread("chunks").alias("chunk"), F.pmod(F.xxhash64("fp", F.lit(1)), "parts").alias("part"), F.lit(True).alias("visits"))
     cell = ["tile", "chunk", "part"]
 
-    def compare(rows: pa.Table) -> pa.Table:
-        prints, visits = rows.column("fp").to_numpy().view("u8"), rows.column("visits").to_numpy()
-        a, b = _forest(prints[~visits], prints[visits], radius)
-        return pa.table({"a": a.view("i8"), "b": b.view("i8")})
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for prints, visits in _cells(batches):
+            a, b = _forest(prints[~visits], prints[visits], radius)
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"a": a.view("i8"), "b": b.view("i8")})
 
-    small_batches(distinct.sparkSession)
-    return home.unionByName(visit).repartition(*cell).groupBy(*cell).applyInArrow(compare, "a long, b long")
+    return home.unionByName(visit).repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
