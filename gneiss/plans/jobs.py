@@ -212,3 +212,34 @@ def review(units: DataFrame, reviewers: dict[str, Callable[[DataFrame], DataFram
                 time.sleep(pause * 2**k)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def discover_repositories(spark: SparkSession, root: str, depth: int = 3) -> DataFrame:
+    """repo, path, is_indexed: folders with an index manifest, and those with version control, up to so many levels below root."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, level = [], [root.rstrip("/")]
+    for _ in range(depth + 1):
+        below = []
+        for folder in level:
+            if not fs.exists(fs_path(folder)):
+                continue
+            names = {x.getPath().getName(): x.isDirectory() for x in fs.listStatus(fs_path(folder))}
+            indexed = "manifest.json" in names
+            if indexed or ".git" in names:
+                found.append((folder.rsplit("/", 1)[-1], folder, indexed))
+            below += [f"{folder}/{name}" for name, is_dir in sorted(names.items()) if is_dir and not name.startswith(".") and name not in ("node_modules", "__pycache__")]
+        level = below
+    return spark.createDataFrame(found, "repo string, path string, is_indexed boolean")
+
+
+BEGIN, END = "<!-- index:begin -->", "<!-- index:end -->"
+
+
+def with_block(text: str, block: str) -> str:
+    """text with the marked block replaced, or put at its end; without markers nothing else changes."""
+    marked = f"{BEGIN}\n{block.strip()}\n{END}"
+    start, end = text.find(BEGIN), text.find(END)
+    if 0 <= start < end:
+        return text[:start] + marked + text[end + len(END) :]
+    return (text.rstrip() + "\n\n" if text.strip() else "") + marked + "\n"

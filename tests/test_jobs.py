@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import scalar as S
 from gneiss.operators import change, contracts, questions, resolution, search, slices, store
-from gneiss.plans import jobs
+from gneiss.plans import investigation, jobs, tools
 
 
 def test_jobs_outlive_their_session(spark, tmp_path):
@@ -154,3 +154,37 @@ def test_awkward_rows(spark):
     assert {x.qualified_name: x.first_line for x in lead.collect()} == {"g": 1, "h": 1}
     route = spark.createDataFrame([("//a/b/",), ("",)], "r string").select(contracts.route_node(F.col("r")).alias("n")).collect()
     assert [x.n for x in route] == ["route:/a/b", "route:/"]
+
+
+def test_tools_run_their_operators(spark):
+    files = spark.createDataFrame([("src/app/items.py", "def load():\n    return 1\n"), ("tests/test_items.py", "load()"), ("src/b.py", "x")], "path string, text string")
+    symbols = spark.createDataFrame([("app.load", "load", "function", "src/app/items.py", 1, 2), ("t.case", "case", "function", "tests/test_items.py", 1, 1), ("b.go", "go", "function", "src/b.py", 1, 1)], "qualified_name string, name string, kind string, file_path string, start_line int, end_line int")
+    chunks = spark.createDataFrame([("c1", "src/app/items.py", "app.load", 1, 2, "def load(): return 1"), ("c2", "src/b.py", "b.go", 1, 1, "x")], "chunk_id string, file_path string, qualified_name string, start_line int, end_line int, content string")
+    edges = spark.createDataFrame([("t.case", "CALLS", "app.load"), ("app.load", "CALLS", "b.go")], "source string, relation string, target string")
+    steps = spark.createDataFrame([(1, 0, "t.case"), (1, 1, "app.load")], "process_id int, step int, symbol string")
+    handlers = spark.createDataFrame([("/items", "src/app/items.py")], "route string, file_path string")
+    run = lambda name, *a, **k: tools.TOOLS[name].run(*a, **k)
+    assert {(x.side, x.node) for x in run("get_callers_and_callees", edges, "app.load").collect()} == {("caller", "t.case"), ("callee", "b.go")}
+    assert {(x.side, x.samples) for x in run("get_dependencies", edges, "app.load").collect()} == {("caller", "t.case"), ("callee", "b.go")}
+    assert {(x.from_file, x.to_file) for x in run("get_file_dependencies", edges, symbols, "src/b.py").collect()} == {("src/app/items.py", "src/b.py")}
+    assert [x.content for x in run("get_source_context", files, chunks, "src/app/items.py", 2, 2).collect()] == ["    return 1"]
+    assert run("find_tests_for_target", "app.load", files, symbols, edges).first().file_path == "tests/test_items.py"
+    processes = spark.createDataFrame([(1, ["t.case", "app.load", "b.go"])], "process_id int, steps array<string>")
+    assert run("list_processes", processes, "LOAD").count() == 1 and run("symbol_process_participation", processes, "b.go").first().role == "terminal"
+    answer = run("investigate_codebase", "Where is load handled in items.py?", files, symbols, chunks, edges, handlers, steps)
+    assert answer["intent"] == "location" and answer["target"] == "app.load" and answer["confidence"] == "high" and answer["files"][0]["file_path"] == "src/app/items.py"
+    assert investigation.investigate("", files, symbols, chunks, edges, handlers, steps)["confidence"] == "low"
+    context = run("unified_context", "load", symbols, edges, chunks)
+    assert context["symbol"]["qualified_name"] == "app.load" and {x["node"] for x in context["neighbours"]} == {"t.case", "b.go"}
+    feature = run("feature_context", "load items", symbols, chunks, symbols.where("name = 'case'"))
+    assert feature.first().file_path == "src/app/items.py" and run("feature_context", "", symbols, chunks, symbols).count() == 0
+    assert len(tools.TOOLS) >= 64
+
+
+def test_repositories_and_blocks(spark, tmp_path):
+    for name in ("a/.git", "b/c/deep/.git", "b/d"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "b" / "d" / "manifest.json").write_text("{}")
+    assert {(x.repo, x.is_indexed) for x in jobs.discover_repositories(spark, f"file://{tmp_path}").collect()} == {("a", False), ("deep", False), ("d", True)}
+    once = jobs.with_block("# Notes\n", "one")
+    assert jobs.with_block(once, "two") == once.replace("one", "two") and once.startswith("# Notes\n\n") and jobs.with_block("", "x").startswith(jobs.BEGIN)
