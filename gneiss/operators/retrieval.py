@@ -45,6 +45,10 @@ def path_score(path: Column, query_tokens: Sequence[str]) -> Column:
     return overlap + F.when(S.is_test_path(path), -0.1).otherwise(0.0) + F.when(F.lower(path).rlike("(^|/)(infra|deploy|scripts|tools)/"), -0.35).otherwise(0.0)
 
 
+def confidence_label(score: Column) -> Column:
+    return F.when(score >= 0.9, "high").when(score >= 0.72, "medium").otherwise("low")
+
+
 def final_score(fused: DataFrame, query: str, content: str | None = None) -> DataFrame:
     """fused with score: base, sources, path and content together, to four decimals, and a confidence label."""
     words = [x for x in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
@@ -53,7 +57,7 @@ def final_score(fused: DataFrame, query: str, content: str | None = None) -> Dat
     if content:
         score = score + overlap_score(S.tokens(F.col(content)), terms, 0.08, 0.4)
     score = F.round(score, 4)
-    return fused.withColumn("score", score).withColumn("confidence", F.when(F.col("score") >= 0.9, "high").when(F.col("score") >= 0.72, "medium").otherwise("low"))
+    return fused.withColumn("score", score).withColumn("confidence", confidence_label(F.col("score")))
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, rounding: int = 6) -> DataFrame:

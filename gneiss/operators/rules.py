@@ -16,7 +16,7 @@ GRAPH_BOOSTS = {
 
 
 def boundary_role(path: Column, name: Column) -> Column:
-    """What a symbol does at the border of its application."""
+    """What a symbol does at the border of its application. The words are fixed values."""
     low = F.lower(F.concat_ws(" ", path, name))
     has = lambda *words: F.exists(F.array(*[F.lit(x) for x in words]), lambda w: F.contains(low, w))
     return (
@@ -68,10 +68,11 @@ def convention_tests(files: DataFrame) -> DataFrame:
 
 def resolve_includes(includes: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
     """(file_path, name), (position, root) in order and (path) -> file_path, name, path: the first root that has it."""
-    listed = roots.agg(F.collect_list(F.struct("position", "root")).alias("roots"))  # a build's include path: one short list
-    tried = includes.join(F.broadcast(listed)).select("file_path", "name", F.explode("roots").alias("r"))
-    tried = tried.select("file_path", "name", "r.position", F.concat_ws("/", "r.root", "name").alias("path"))
-    return best_per_key(tried.join(files.select("path"), "path", "left_semi"), ["file_path", "name"], [F.asc("position")]).select("file_path", "name", "path")
+    names = files.select("path", S.base_name(F.col("path")).alias("base"))
+    # By base name first, so that no include meets all roots; then the root is what is left of the path.
+    near = includes.withColumn("base", S.base_name(F.col("name"))).join(names, "base").where(F.endswith("path", F.concat(F.lit("/"), "name")))
+    tried = near.withColumn("root", F.expr("substring(path, 1, length(path) - length(name) - 1)")).join(roots, "root").select("file_path", "name", "position", "path")
+    return best_per_key(tried, ["file_path", "name"], [F.asc("position")]).select("file_path", "name", "path")
 
 
 def carried_forward(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
@@ -84,7 +85,7 @@ def carried_forward(rows: DataFrame, group: str, order: str, value: str) -> Data
 def proximity_boost(ranked: DataFrame, k: int = 5, boost: float = 0.08) -> DataFrame:
     """(path, score): what shares a folder with one of the first k gets more."""
     folder = F.regexp_replace("path", r"/[^/]*$", "")
-    best = ranked.orderBy(F.desc("score"), F.asc("path")).limit(k).select(folder.alias("folder")).distinct()
+    best = ranked.orderBy(F.desc("score"), F.asc("path")).limit(k).select(folder.alias("folder")).distinct()  # at most k rows
     boosted = ranked.withColumn("folder", folder).join(F.broadcast(best.withColumn("near", F.lit(True))), "folder", "left")
     return boosted.select("path", F.round(F.col("score") + F.when(F.col("near"), boost).otherwise(0.0), 4).alias("score"))
 
@@ -105,6 +106,7 @@ def fingerprint(file_path: Column, category: Column, title: Column) -> Column:
     return F.concat_ws("|", area, category, words)
 
 
+#: Names of sensitive values. Fixed values.
 SECRET_NAMES = r"(?i)\b(?:password|passwd|secret|api_?key|auth_?token|access_?token|private_?key)\b"
 
 
