@@ -157,7 +157,10 @@ def c2_semantic_chunks(spark, sf_dir):
 
 
 
-@query("w10_token_batches")
+@query("w10_token_batches", """WITH RECURSIVE d AS (SELECT source, doc_id AS id, CAST(ceil(n_chars / 4) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id, n_chars) AS i FROM documents),
+r AS (SELECT source, id, i, 0 AS batch, 1 AS n, tokens AS t FROM d WHERE i = 1
+  UNION ALL SELECT d.source, d.id, d.i, CASE WHEN r.n >= 24 OR r.t + d.tokens > 12000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 24 OR r.t + d.tokens > 12000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 24 OR r.t + d.tokens > 12000 THEN d.tokens ELSE r.t + d.tokens END
+  FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.i = r.i + 1) SELECT source, id, batch FROM r""")
 def w10_token_batches(spark, sf_dir):
     from gneiss.operators.batching import token_batches
 
