@@ -548,3 +548,46 @@ def test_pipeline_stages(spark, folder):
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     rows = sorted(got.collect(), key=lambda x: x.start)
     assert [x.start for x in rows] == [sum(y.n_tokens for y in rows[:k]) for k in range(len(rows))]
+
+
+def test_stage_decisions_by_brute_force(spark, folder):
+    """Each stage's kept rows, against what plain Python keeps of its input."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("__gneiss", F.lit(1)).withColumn("__0", F.lit("x"))
+    model = language.train(docs.where(~language.is_held_out(F.col("doc_id"))))
+    predict = language.Scorer(model).predict
+    rows = [tuple(x) for x in docs.collect()]
+    sure = [x for x in rows if (p := predict(x[1]))[0] != "und" and p[1] >= 0.5]
+    key = lambda x: [str(y) for y in x]
+    assert sorted(map(tuple, stages["language_id"](spark, docs, folder).collect()), key=key) == sorted(sure, key=key)
+    prints = [simhash.fingerprints_of([x[1]])[0][0] & (2**64 - 1) for x in rows]
+    groups = brute_components_of([x[0] for x in rows], prints)
+    assert sorted(map(tuple, stages["near_dedup"](spark, docs, folder).collect()), key=key) == sorted([x for x, g in zip(rows, groups, strict=True) if x[0] == g], key=key)
+    hit = {x.doc_id for x in decontaminate.op8_decontaminate(spark, folder).where("contaminated").collect()}
+    assert sorted(map(tuple, stages["decontamination"](spark, docs, folder).collect()), key=key) == sorted([x for x in rows if x[0] not in hit], key=key)
+    taken = {x.doc_id: x.copies for x in mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).collect()}
+    mixed = Counter(tuple(x) for x in stages["mixing"](spark, docs, folder).collect())
+    assert mixed == Counter({x: taken[x[0]] for x in rows if taken[x[0]]})
+    for name, stage in list(stages.items())[:-1]:
+        assert stage(spark, docs.limit(0), folder).collect() == [], name
+
+
+def brute_components_of(ids, prints):
+    """The smallest id reachable by links of at most two bits."""
+    least = list(ids)
+    while True:
+        new = [min(least[j] for j in range(len(ids)) if (prints[i] ^ prints[j]).bit_count() <= 2) for i in range(len(ids))]
+        if new == least:
+            return least
+        least = new
+
+
+def test_frequent_words_with_ties(spark):
+    """Rows of a step that would pass the limit stay out together, whatever their order."""
+    from gneiss.llm.common import is_frequent, most_frequent
+
+    rows = spark.createDataFrame([(f"w{i}", "a", 8) for i in range(10)] + [("top", "a", 100), ("x", "b", 1)], "word string, lang string, n long")
+    assert [x.word for x in most_frequent(rows, 5).collect()] == ["top"] and most_frequent(rows, 11).count() == 11 and most_frequent(rows.limit(0), 5).count() == 0
+    assert {x.word for x in rows.where(is_frequent(rows, ["lang"], lambda key: 5)).collect()} == {"top", "x"}
