@@ -37,9 +37,11 @@ def _work_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
+    """df written to the shared folder and read again. The folder goes when the application ends."""
     path = f"{_work_dir(df.sparkSession)}/gneiss/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scratch = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    scratch.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(scratch)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
