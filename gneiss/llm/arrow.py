@@ -23,7 +23,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.exec
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches, unless it has bounds of its own: two tasks' batches must fit beside the heap."""
     for key, value in BATCH.items():
-        if int(str(spark.conf.get(key)).rstrip("b")) in (10_000, 64 << 20):  # Spark's own defaults
+        if str(spark.conf.get(key)).rstrip("b") in ("10000", str(64 << 20)):  # Spark's own defaults
             spark.conf.set(key, value)
 
 
