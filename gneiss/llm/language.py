@@ -122,6 +122,25 @@ class Scorer:
         return languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def sample_bounds(hashed: DataFrame, most: int) -> dict[str, tuple[int, int]]:
+    """(lang, h) -> for each language the most-th least h, or the greatest if there are fewer, and how many rows there are up to it.
+
+    A histogram of the hashes finds the step that holds the bound; only that
+    step's rows, a few of all, are ranked. Languages are few.
+    """
+    step = F.shiftright("h", 48)
+    counts = hashed.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h"))
+    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("lang").orderBy("step")))  # at most 65,536 steps
+    total = {x.lang: (x.h, x.n) for x in counts.groupBy("lang").agg(F.max("h").alias("h"), F.sum("n").alias("n")).collect()}
+    full = {x.lang: (x.step, most - x.before) for x in upto.where(F.col("upto") >= most).groupBy("lang").agg(F.min("step").alias("step"), F.min(F.col("upto") - F.col("n")).alias("before")).collect()}
+    if not full:
+        return total
+    place = F.create_map(*[y for lang, x in full.items() for y in (F.lit(lang), F.struct(F.lit(x[0]).cast("long").alias("step"), F.lit(x[1]).cast("long").alias("k")))])[F.col("lang")]
+    some = hashed.select("lang", "h", place.alias("p")).where(step == F.col("p.step"))
+    ranked = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") == F.col("p.k"))
+    return total | {x.lang: (x.h, most) for x in ranked.select("lang", "h").collect()}
+
+
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """A model from (doc_id, text, lang). Rows without language, text or letters teach nothing.
 
@@ -131,10 +150,7 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     doesn't depend on the order of rows; an empty table teaches nothing.
     """
     hashed = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    # Spark keeps the first rows of each language in every task before it shuffles.
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    drawn = hashed.select("lang", "h").withColumn("k", rank).where(F.col("k") <= docs_per_language)
-    last = {x.lang: (x.h, x.n) for x in drawn.groupBy("lang").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    last = sample_bounds(stored(hashed.select("lang", "h"), "language-hashes"), docs_per_language)
     if not last:
         return Model([], [([], np.zeros((0, 0))) for _ in range(LONGEST + 1)])
     bound = F.element_at(F.create_map(*[F.lit(y) for lang, (h, _) in last.items() for y in (lang, h)]), F.col("lang"))

@@ -371,6 +371,10 @@ def test_language_by_brute_force(spark):
 
 def test_language_sample_is_bounded(spark):
     docs = spark.range(300).selectExpr("id as doc_id", "concat('word', id) as text", "if(id % 3 = 0, 'a', 'b') as lang")
+    hashed = docs.selectExpr("lang", "xxhash64(doc_id, text) as h")
+    by = {x: sorted(r.h for r in hashed.collect() if r.lang == x) for x in "ab"}
+    assert language.sample_bounds(hashed, 20) == {x: (h[19], 20) for x, h in by.items()}
+    assert language.sample_bounds(hashed, 150) == {"a": (by["a"][-1], 100), "b": (by["b"][149], 150)} and language.sample_bounds(hashed.limit(0), 5) == {}
     model = language.train(docs.where("true"), docs_per_language=20)
     assert len(model.words[0]) <= 40 and model.languages == ["a", "b"]
 
