@@ -95,7 +95,7 @@ class _Repeats:
     def _overtakes(self, a: int, b: int) -> float:
         """From where on the earlier start a is as cheap as b."""
         ratio = 10 ** (self.best[b] - self.best[a])
-        return (ratio * b - a) / (ratio - 1)
+        return (ratio * b - a) / (ratio - 1) if ratio > 1 else math.inf
 
     def add(self, i: int) -> None:
         stack, best = self.stack, self.best
