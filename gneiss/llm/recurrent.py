@@ -12,6 +12,7 @@ begins, with a fresh state, so that a long document holds nothing up.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,15 +35,24 @@ def class_bounds(counts: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0, 1, 2], cuts[cuts < len(counts)], [len(counts)]])).astype(int)
 
 
-def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp of the rows less a shift, in place; their sums; the shift, which is needed for extreme rows only."""
-    if -60 < logits.min(initial=0) and logits.max(initial=0) < 60:
-        shift: np.ndarray | float = 0.0
-    else:
-        shift = logits.max(1)
-        logits -= shift[:, None]
-    np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], logits.dtype), shift
+def _rows(of: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """of[at], in out; all of at are rows of it."""
+    return np.take(of, at, 0, out=out, mode="clip")
+
+
+def _order(ids: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of ids below most."""
+    return np.argsort(ids.astype("u2") if most <= 1 << 16 else ids, kind="stable")
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights of an output for each row, the bias behind them."""
+    return np.concatenate([weights, bias[:, None]], 1)
 
 
 class Network:
@@ -52,6 +62,8 @@ class Network:
         rng, self.hidden, self.bounds = np.random.default_rng(seed), hidden, class_bounds(counts)
         n, classes = len(counts), len(self.bounds) - 1
         self.of = np.repeat(np.arange(classes), np.diff(self.bounds)).astype("i2")
+        #: Words that are alone in their class.
+        self.single = self.bounds[:-1][np.diff(self.bounds) == 1]
         log = np.log(counts + 1.0)
         mass = np.array([np.logaddexp.reduce(log[a:b]) for a, b in zip(self.bounds, self.bounds[1:], strict=False)])
         normal = lambda *shape: rng.normal(0, 0.1, shape)
@@ -61,122 +73,191 @@ class Network:
         }
         self.p = {k: v.astype("f4") for k, v in self.p.items()}
         self.seen = {k: np.full_like(v, 1e-2) for k, v in self.p.items()}
+        self._kept: dict[tuple, np.ndarray] = {}
+
+    def _space(self, name: str, *shape: int, kind=np.dtype("f4")) -> np.ndarray:
+        """An array to be filled, in memory that is kept from window to window under its name."""
+        size = math.prod(shape)
+        if (kept := self._kept.get((name, kind))) is None or kept.size < size:
+            kept = self._kept[name, kind] = np.empty(size, kind)
+        return kept[:size].reshape(shape)
 
-    # -- passes over one window: ids, targets and fresh are (steps, streams) --
+    # -- passes over one window: ids, targets and fresh are (steps, streams); states are (steps, hidden, streams), so that
+    # -- each gate of a step lies in one piece
 
     def _recur(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
         """States behind each step, and with keep what the way back needs; a fresh stream's state is zero."""
-        p, n, steps = self.p, self.hidden, len(ids)
-        inputs = p["x"][ids]
-        inputs += p["b"]
-        states = np.empty((*ids.shape, n), "f4")
-        before, gates, new, back = (np.empty((steps if keep else 1, ids.shape[1], k), "f4") for k in (n, 2 * n, n, n))
-        some = fresh.any(1)
+        p, n, (steps, streams) = self.p, self.hidden, ids.shape
+        # Gates are 1 / (1 + exp(-x)): their signs turn here, once.
+        sign = np.repeat(np.array([-1, -1, 1], "f4"), n)
+        inputs = self._space("inputs", steps, 3 * n, streams)
+        inputs[...] = _rows((p["x"] + p["b"]) * sign, ids, self._space("rows", steps, streams, 3 * n)).transpose(0, 2, 1)
+        r = np.ascontiguousarray((p["r"] * sign).T)
+        states = self._space("states", steps, n, streams)
+        before, gates, new, through = (self._space(x, steps if keep else 1, k, streams) for x, k in (("before", n), ("gates", 2 * n), ("new", n), ("through", 3 * n)))
+        some = fresh.any(1).tolist()
         for t in range(steps):
             k = t if keep else 0
             if some[t]:
-                h = np.where(fresh[t, :, None], np.float32(0), h)
-            through = h @ p["r"]
-            before[k], back[k] = h, through[:, 2 * n :]
-            g = inputs[t, :, : 2 * n]
-            g += through[:, : 2 * n]
-            np.negative(g, out=g)
+                h = np.where(fresh[t], np.float32(0), h)
+            if keep:
+                before[k] = h
+            back = np.matmul(r, h, out=through[k])
+            g, m, now = gates[k], new[k], states[t]
+            np.add(inputs[t, : 2 * n], back[: 2 * n], out=g)
             np.exp(g, out=g)
             g += 1
-            np.reciprocal(g, out=gates[k])
-            g = inputs[t, :, 2 * n :]
-            g += gates[k, :, :n] * back[k]
-            np.tanh(g, out=new[k])
-            h = h - new[k]
-            h *= gates[k, :, n:]
-            h += new[k]
-            states[t] = h
-        return states, h, (before, gates, new, back)
-
-    def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-        """An order of the targets by class, and for classes of several words their first and last id and place in that order."""
-        of = self.of[targets]
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(len(self.bounds)))
-        return order, [(int(x), int(y), a, b) for x, y, a, b in zip(self.bounds, self.bounds[1:], cuts.tolist(), cuts[1:].tolist(), strict=False) if a < b and y - x > 1]
+            np.reciprocal(g, out=g)
+            np.multiply(g[:n], back[2 * n :], out=m)
+            m += inputs[t, 2 * n :]
+            np.tanh(m, out=m)
+            np.subtract(h, m, out=now)
+            now *= g[n:]
+            now += m
+            h = now
+        return states, h, (before, gates, new, through[:, 2 * n :])
+
+    def _by_class(self, targets: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """For classes of several words their first and last id and place among the targets, which are in order."""
+        cuts = np.searchsorted(targets, self.bounds).tolist()
+        bounds = self.bounds.tolist()
+        return [(x, y, a, b) for x, y, a, b in zip(bounds, bounds[1:], cuts, cuts[1:], strict=False) if a < b and y - x > 1]
+
+    def _outputs(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights and biases of classes and of words (none of a class's only word), and whether all logits of the states are small enough for a plain exp."""
+        p = self.p
+        classes, words = _with_bias(p["wc"].T, p["bc"]), _with_bias(p["u"], p["bu"])
+        words[self.single] = 0
+        most = np.float32(max(1.0, np.abs(states).max(initial=0)))
+        return classes, words, bool(max(np.abs(classes).sum(1).max(), np.abs(words).sum(1).max()) * most < 60)
+
+    def _by_token(self, states: np.ndarray) -> np.ndarray:
+        """states as (steps, streams, hidden), in one piece."""
+        steps, n, streams = states.shape
+        out = self._space("by token", steps, streams, n)
+        out[...] = states.transpose(0, 2, 1)
+        return out
+
+    def _and_one(self, states: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Rows of states in that order and a last column of ones, so that products add a bias."""
+        out = self._space("and one", len(order), self.hidden + 1, kind=states.dtype)
+        out[:, :-1], out[:, -1] = _rows(states, order, self._space("ordered", len(order), self.hidden, kind=states.dtype)), 1
+        return out
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms for rows of states and their next words."""
-        p = self.p
+        order = _order(targets, len(self.of))
+        targets = targets[order]
+        rows = self._and_one(states, order)
+        by_class, by_word, plain = self._outputs(states)
 
-        def logs(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            own = logits[np.arange(len(at)), at]
-            _, sums, shift = _exps(logits)
-            return own - shift - np.log(sums)
+        def log_sums(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            e = np.matmul(rows, weights.T, out=self._space("e", len(rows), len(weights), kind=rows.dtype))
+            shift = 0 if plain else e.max(1)
+            if not plain:
+                e -= shift[:, None]
+            np.exp(e, out=e)
+            return np.log(e @ np.ones(len(weights), e.dtype)) + shift
 
-        out = logs(states @ p["wc"] + p["bc"], self.of[targets])
-        order, classes = self._by_class(targets)
-        for first, last, a, b in classes:
-            rows = order[a:b]
-            out[rows] += logs(states[rows] @ p["u"][first:last].T + p["bu"][first:last], targets[rows] - first)
+        found = np.einsum("ij,ij->i", rows, by_class.take(self.of[targets], 0)) - log_sums(rows, by_class)
+        own = np.einsum("ij,ij->i", rows, by_word.take(targets, 0))
+        for first, last, a, b in self._by_class(targets):
+            found[a:b] += own[a:b] - log_sums(rows[a:b], by_word[first:last])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def _output_gradients(self, states: np.ndarray, targets: np.ndarray, grads: dict) -> np.ndarray:
-        p = self.p
+        order = _order(targets, len(self.of))
+        targets = targets[order]
+        rows, n = self._and_one(states, order), self.hidden
+        by_class, by_word, plain = self._outputs(states)
+
+        def pull(rows: np.ndarray, weights: np.ndarray, out: np.ndarray, grad: np.ndarray) -> None:
+            """What the softmax's sum gives: mean weights for each row, and the rows by their shares for each output."""
+            e = np.matmul(rows, weights.T, out=self._space("e", len(rows), len(weights), kind=rows.dtype))
+            if not plain:
+                e -= e.max(1)[:, None]
+            np.exp(e, out=e)
+            shares = 1 / (e @ np.ones(len(weights), e.dtype))
+            e *= shares[:, None]
+            np.matmul(e, weights[:, :n], out=out)
+            np.matmul(e.T, rows, out=grad)
+
+        def less(of: np.ndarray, grad: np.ndarray) -> None:
+            """What the targets, which are in order, take away."""
+            starts = _starts(of)
+            grad[of[starts]] -= np.add.reduceat(rows, starts)
 
-        def pull(e: np.ndarray, at: np.ndarray) -> np.ndarray:
-            e, sums, _ = _exps(e)
-            e *= (1 / sums)[:, None]
-            e[np.arange(len(at)), at] -= 1
-            return e
-
-        d = pull(states @ p["wc"] + p["bc"], self.of[targets])
-        grads["wc"], grads["bc"] = states.T @ d, d.sum(0)
-        out = d @ p["wc"].T
-        order, classes = self._by_class(targets)
-        for first, last, a, b in classes:
-            rows = order[a:b]
-            some = states[rows]
-            d = pull(some @ p["u"][first:last].T + p["bu"][first:last], targets[rows] - first)
-            grads["u"][first:last] = d.T @ some
-            grads["bu"][first:last] = d.sum(0)
-            out[rows] += d @ p["u"][first:last]
+        for_classes, for_words = np.zeros_like(by_class), np.zeros_like(by_word)
+        found, inner = (self._space(x, len(rows), n, kind=rows.dtype) for x in ("found", "inner"))
+        inner[...] = 0
+        if len(rows):
+            of = self.of[targets]
+            pull(rows, by_class, found, for_classes)
+            for first, last, a, b in self._by_class(targets):
+                pull(rows[a:b], by_word[first:last], inner[a:b], for_words[first:last])
+            less(of, for_classes)
+            less(targets, for_words)
+            for_words[self.single] = 0
+            found += inner
+            found -= by_class.take(of, 0)[:, :n]
+            found -= by_word.take(targets, 0)[:, :n]
+        grads["wc"], grads["bc"] = np.ascontiguousarray(for_classes[:, :n].T), for_classes[:, n].copy()
+        grads["u"], grads["bu"] = np.ascontiguousarray(for_words[:, :n]), for_words[:, n].copy()
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def _learn(self, ids: np.ndarray, targets: np.ndarray, mask: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One step of Adagrad on a window; the state behind it."""
-        p, n = self.p, self.hidden
+        p, n, (steps, streams) = self.p, self.hidden, ids.shape
         states, last, (before, gates, new, back) = self._recur(ids, fresh, h, True)
-        grads = {"u": np.zeros_like(p["u"]), "bu": np.zeros_like(p["bu"])}
+        grads: dict[str, np.ndarray] = {}
+        by_token, out = self._by_token(states), self._space("out", steps, n, streams)
         if mask.all():
-            out = self._output_gradients(states.reshape(-1, n), targets.reshape(-1), grads).reshape(states.shape)
+            by_token[...] = self._output_gradients(by_token.reshape(-1, n), targets.reshape(-1), grads).reshape(by_token.shape)
         else:
-            out = np.zeros_like(states)
-            out[mask] = self._output_gradients(states[mask], targets[mask], grads)
-        inputs, after = np.empty((*ids.shape, 3 * n), "f4"), np.zeros_like(h)
-        through = np.empty_like(inputs)
-        reset, update = gates[:, :, :n], gates[:, :, n:]
-        # What doesn't depend on the way back, for all steps at once.
-        to_new = (1 - update) * (1 - new * new)
-        to_update = (before - new) * update * (1 - update)
-        to_reset = back * reset * (1 - reset)
-        some, rt = fresh.any(1), np.ascontiguousarray(p["r"].T)
-        for t in range(len(ids) - 1, -1, -1):
-            d = out[t]
+            pulled = self._output_gradients(by_token[mask], targets[mask], grads)
+            by_token[...] = 0
+            by_token[mask] = pulled
+        out[...] = by_token.transpose(0, 2, 1)
+        reset, update = gates[:, :n], gates[:, n:]
+        # What a state's gradient is multiplied by on its way through the reset gate, to both gates, to the new state and to
+        # the state before: known for all steps at once.
+        ways, some = self._space("ways", steps, 5, n, streams), self._space("some", steps, n, streams)
+        np.multiply(new, new, out=ways[:, 3])
+        np.subtract(1, ways[:, 3], out=ways[:, 3])
+        np.subtract(1, update, out=some)
+        ways[:, 3] *= some
+        np.subtract(before, new, out=ways[:, 2])
+        ways[:, 2] *= update
+        ways[:, 2] *= some
+        np.multiply(ways[:, 3], reset, out=ways[:, 0])
+        np.subtract(1, reset, out=some)
+        some *= back
+        np.multiply(ways[:, 0], some, out=ways[:, 1])
+        ways[:, 4] = update
+        r = np.concatenate([p["r"][:, 2 * n :], p["r"][:, : 2 * n]], 1)
+        starting, after = fresh.any(1).tolist(), np.zeros((n, streams), "f4")
+        for t in range(steps - 1, -1, -1):
+            d, way = out[t], ways[t]
             d += after
-            d_new = d * to_new[t]
-            inputs[t, :, :n] = d_new * to_reset[t]
-            inputs[t, :, n : 2 * n] = d * to_update[t]
-            inputs[t, :, 2 * n :] = d_new
-            through[t, :, : 2 * n] = inputs[t, :, : 2 * n]
-            through[t, :, 2 * n :] = d_new * reset[t]
-            after = through[t] @ rt
-            after += d * update[t]
-            if some[t]:
-                after[fresh[t]] = 0
-        flat, words = inputs.reshape(-1, 3 * n), ids.reshape(-1)
-        grads["r"] = before.reshape(-1, n).T @ through.reshape(-1, 3 * n)
-        order = np.argsort(words.astype("u2") if len(p["x"]) < 1 << 16 else words, kind="stable")
-        sorted_ = words[order]
-        starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        rows = sorted_[starts]
-        grads["b"], grads["x"] = flat.sum(0), np.add.reduceat(flat[order], starts)
-        scale = 1 / max(1, ids.shape[1])
+            way *= d
+            np.matmul(r, way[:3].reshape(3 * n, streams), out=after)
+            after += way[4]
+            if starting[t]:
+                after[:, fresh[t]] = 0
+        through = np.matmul(before, ways[:, :3].reshape(steps, 3 * n, streams).transpose(0, 2, 1)).sum(0)
+        grads["r"] = np.concatenate([through[:, n:], through[:, :n]], 1)
+        flat, words = self._space("flat", steps, streams, 3 * n), ids.reshape(-1)
+        flat[...] = ways[:, 1:4].reshape(steps, 3 * n, streams).transpose(0, 2, 1)
+        order = _order(words, len(p["x"]))
+        starts = _starts(words[order])
+        rows = words[order[starts]]
+        grads["x"] = np.add.reduceat(_rows(flat.reshape(-1, 3 * n), order, self._space("rows", len(order), 3 * n)), starts)
+        grads["b"] = grads["x"].sum(0)
+        scale = 1 / max(1, streams)
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
         scale *= min(1.0, CLIP / (norm + 1e-9))
         for k, g in grads.items():
@@ -197,9 +278,9 @@ class Network:
         """Window after window: ids, targets, the document (by its number) of each place or -1, fresh, and which of the last window's streams go on."""
         queue = enumerate(docs)
         running: list[tuple[int, np.ndarray, int] | None] = [None] * streams
+        last = np.full(streams, END, "i4")
         while True:
-            ids, targets, owner = (np.zeros((len(running), WINDOW), "i4") for _ in range(3))
-            owner -= 1
+            targets, owner = np.zeros((len(running), WINDOW), "i4"), np.full((len(running), WINDOW), -1, "i4")
             fresh = np.zeros((len(running), WINDOW), bool)
             on = []
             for s, now in enumerate(running):
@@ -212,12 +293,9 @@ class Network:
                     k, doc, place = now
                     n = min(WINDOW - at, len(doc) - place)
                     targets[s, at : at + n] = doc[place : place + n]
-                    if place:
-                        ids[s, at : at + n] = doc[place - 1 : place + n - 1]
-                    else:
-                        ids[s, at], fresh[s, at] = END, True
-                        ids[s, at + 1 : at + n] = doc[: n - 1]
                     owner[s, at : at + n] = k
+                    if not place:
+                        fresh[s, at] = True
                     at += n
                     now = (k, doc, place + n) if place + n < len(doc) else None
                 running[s] = now
@@ -225,24 +303,32 @@ class Network:
                     on.append(s)
             if not on:
                 return
-            running = [running[s] for s in on]
-            yield (*(np.ascontiguousarray(x[on].T) for x in (ids, targets, owner, fresh)), np.array(on))
+            ids = np.concatenate([last[:, None], targets[:, :-1]], 1)
+            ids[fresh] = END
+            if len(on) < len(running):
+                running = [running[s] for s in on]
+                ids, targets, owner, fresh = (x[on] for x in (ids, targets, owner, fresh))
+            last = targets[:, -1]
+            yield (*(np.ascontiguousarray(x.T) for x in (ids, targets, owner, fresh)), np.array(on))
 
     def train(self, docs: Iterable[np.ndarray], streams: int = STREAMS) -> None:
         """One pass over the documents, in their order."""
-        h = np.zeros((streams, self.hidden), "f4")
+        h = np.zeros((self.hidden, streams), "f4")
         for ids, targets, owner, fresh, on in self._windows(docs, streams):
-            h = self._learn(ids, targets, owner >= 0, fresh, h[on])
+            h = self._learn(ids, targets, owner >= 0, fresh, h[:, on])
 
     def score(self, docs: list[np.ndarray], streams: int = 2 * STREAMS) -> np.ndarray:
         """Natural-log likelihood of each document, its end included."""
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))  # the longest start first, so that streams end together
         total = np.zeros(len(docs))
-        h = np.zeros((streams, self.hidden), "f4")
+        h = np.zeros((self.hidden, streams), "f4")
         for ids, targets, owner, fresh, on in self._windows((docs[i] for i in order), streams):
-            states, h, _ = self._recur(ids, fresh, h[on], False)
-            mask = owner >= 0
-            total += np.bincount(owner[mask], self.log_probabilities(states[mask], targets[mask]), len(docs))
+            states, h, _ = self._recur(ids, fresh, h[:, on], False)
+            mask, states = owner >= 0, self._by_token(states)
+            if mask.all():
+                total += np.bincount(owner.reshape(-1), self.log_probabilities(states.reshape(-1, self.hidden), targets.reshape(-1)), len(docs))
+            else:
+                total += np.bincount(owner[mask], self.log_probabilities(states[mask], targets[mask]), len(docs))
         out = np.empty(len(docs))
         out[order] = total
         return out

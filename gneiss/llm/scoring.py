@@ -14,17 +14,17 @@ corpus is ever broadcast.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.arrow import ROWS_AT_ONCE, small_batches
+from gneiss.llm.arrow import small_batches
 from gneiss.llm.common import most_frequent, stored, table
 from gneiss.llm.recurrent import END, TAIL, Network
 
@@ -32,8 +32,12 @@ from gneiss.llm.recurrent import END, TAIL, Network
 HEAD, NEURAL = 150_000, 1_000
 #: Rounds that the training documents are dealt to, at most so many trainers, with about so many documents each.
 ROUNDS, TRAINERS, DEALT = 2, 64, 2048
-#: Tokens that a task gathers before it scores their documents together; distinct words that it counts before it hands them on.
-TOGETHER, _FLUSH = 1 << 21, 300_000
+#: Tokens that a task gathers before it scores their documents together; bytes of words that it counts at once.
+TOGETHER, _COUNTED = 1 << 21, 32 << 20
+#: Documents cut at once; looking up their words costs a table of the head words each time.
+_CUT = 1024
+#: How network ids are kept.
+_ID = "u2" if NEURAL + 2 <= 1 << 16 else "i4"
 #: Bytes of a block of weights.
 _BLOCK = 1 << 16
 #: The end of a document among words; no word is empty.
@@ -49,24 +53,36 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END_WORD]
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of all texts in a row, and where those of each begin, closed by their number."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    # A last space leaves an empty word behind it: the end.
+    parts = pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(trimmed), 0), "", pc.binary_join_element_wise(trimmed, "", " ")))
+    return parts.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())]).astype("i8")
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(text) -> (token, n) over all rows; the end is the empty token."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        waiting: list[pa.Array] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x.decode() for x in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-            counts.clear()
-            return out
+            values, counts = pa.chunked_array(waiting, pa.string()).value_counts().flatten()
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([values, counts], ["token", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-                if len(counts) > _FLUSH:
+        size = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, _CUT):
+                waiting.append(cut(whole.column(0).slice(at, _CUT))[0])
+                size += waiting[-1].nbytes
+                if size > _COUNTED:
                     yield flush()
+                    size = 0
         yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
@@ -81,23 +97,25 @@ class Vocabulary:
         known = sum(self.count[w] for w in ranked) + self.count.get(END_WORD, 0)
         #: Tail words share their class's probability by count plus one, unseen words being one more word.
         self.tail_total = total - known + distinct - len(ranked) - (END_WORD in self.count) + 1
-        self.place = {w: i for i, w in enumerate(self.count)}
+        self.words = pa.array([w for w, _ in head], pa.string())
         #: By place among the head words: log10 of the count plus one, and the network's id.
         self.logs = np.log10(np.array([*self.count.values()], float) + 1)
         self.ids_of = np.array([self.id.get(w, TAIL) for w in self.count], "i4")
         self.neural_counts = np.array([self.count.get(END_WORD, 0), total - known, *(self.count[w] for w in ranked)], float)
 
-    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, int, float, float, list[bytes]]:
-        """Network ids; how many are head words; the sum of log10 of their counts plus one, and of the share of it that TAIL has; the other words."""
-        get = self.place.get
-        places = np.array([get(w, -1) for w in words])
-        head = places >= 0
-        known = places[head]
-        ids = np.full(len(places), TAIL, "i4")
-        ids[head] = self.ids_of[known]
-        logs = self.logs[known]
-        rest = [] if len(known) == len(places) else [words[i] for i in np.flatnonzero(~head)]
-        return ids, len(known), float(logs.sum()), float(logs[self.ids_of[known] == TAIL].sum()), rest
+    def encoded(self, words: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], pa.Array, np.ndarray, np.ndarray]:
+        """What cut gives -> network ids; by text: how many are head words, the sum of log10 of their counts plus one, the share of
+        it that TAIL has, and how many are TAIL; the other words, once for each text, how often each is in it, and where those of each text begin."""
+        places = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        # Other words have place -1, the last.
+        all_ids, all_logs = np.append(self.ids_of, TAIL), np.append(self.logs, 0.0)
+        ids, first = all_ids[places], starts[:-1]
+        of_text = [np.add.reduceat(x, first) for x in ((places >= 0).astype("i8"), all_logs[places], np.where(all_ids == TAIL, all_logs, 0.0)[places], (ids == TAIL).astype("i8"))]
+        at = np.flatnonzero(places < 0)
+        others = words.take(pa.array(at)).dictionary_encode()
+        distinct = max(1, len(others.dictionary))
+        found, times = np.unique((np.searchsorted(starts, at, "right") - 1) * distinct + others.indices.to_numpy(), return_counts=True)
+        return ids, of_text, others.dictionary.take(pa.array(found % distinct)), times, np.searchsorted(found // distinct, np.arange(len(starts)))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -126,22 +144,17 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
         target, rid = to_arrow_schema(schema), TaskContext.get().partitionId() << 36
         kind = target.field("rest").type
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                rows, ends, rest, times = [], [0], [], []
-                for text in batch.column("text").to_pylist():
-                    tokens = words_of(text)
-                    ids, known, base, tail_base, others = sent.value.encoded(tokens)
-                    rid += 1
-                    rows.append((rid, len(tokens), known, base, tail_base, int((ids == TAIL).sum()), ids.tobytes()))
-                    counts = Counter(others)
-                    rest += counts
-                    times += counts.values()
-                    ends.append(len(rest))
-                rid_, n, known, base, tail_base, tail, ids = zip(*rows, strict=True)
-                entries = pa.StructArray.from_arrays([pa.array([x.decode() for x in rest], pa.string()), pa.array(times, pa.int64())], fields=list(kind.value_type))
+            for at in range(0, whole.num_rows, _CUT):
+                batch = whole.slice(at, _CUT)
+                words, starts = cut(batch.column("text"))
+                ids, (known, base, tail_base, tail), rest, times, ends = sent.value.encoded(words, starts)
+                ids = ids.astype(_ID)
+                blobs = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((starts * ids.itemsize).astype("i4")), pa.py_buffer(ids)])
+                entries = pa.StructArray.from_arrays([rest, pa.array(times, pa.int64())], fields=list(kind.value_type))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries, type=kind)
-                arrays = [pa.array(rid_), batch.column("doc_id"), batch.column("held"), *(pa.array(x) for x in (n, known, base, tail_base, tail, ids)), lists]
+                rids = np.arange(rid + 1, rid + 1 + len(batch))
+                rid += len(batch)
+                arrays = [pa.array(rids), batch.column("doc_id"), batch.column("held"), *(pa.array(x) for x in (np.diff(starts), known, base, tail_base, tail)), blobs, lists]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, target, strict=True)], schema=target)
 
     small_batches(docs.sparkSession)
@@ -173,7 +186,7 @@ def trained(docs: DataFrame, words: Vocabulary) -> bytes:
                 nonlocal seen
                 for batch in batches:
                     for blob in batch.column(0).to_pylist():
-                        ids = np.frombuffer(blob, "i4")
+                        ids = np.frombuffer(blob, _ID)
                         seen += len(ids)
                         yield ids
 
@@ -227,7 +240,7 @@ def likelihoods(codes: DataFrame, words: Vocabulary, weights: bytes) -> DataFram
         for batch in batches:
             for rid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rids.append(rid)
-                texts.append(np.frombuffer(blob, "i4"))
+                texts.append(np.frombuffer(blob, _ID))
                 waiting += len(texts[-1])
                 if waiting > TOGETHER:
                     yield flush()

@@ -309,6 +309,93 @@ def test_gradients_match_differences():
         assert out[i, j] == pytest.approx(-(net.log_probabilities(bump, targets).sum() - net.log_probabilities(states, targets).sum()) / 1e-5, rel=1e-2, abs=1e-4)
 
 
+def test_scoring_cuts_and_encodes_like_plain_python(spark, monkeypatch):
+    """Words cut and looked up a batch at a time are words_of each text; ids take two bytes; words beyond the head are listed by text."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [*TEXTS, "rare rare a rare", "\x0b", "x\x1cy\x85z\u00a0w", "\u0130 \u212a K", "a " * 5000]
+    words, starts = scoring.cut(pa.array(texts))
+    got = [x.encode() for x in words.to_pylist()]
+    assert [got[a:b] for a, b in zip(starts, starts[1:], strict=False)] == [scoring.words_of(x) for x in texts]
+    assert scoring.cut(pa.array(texts, pa.large_string()))[0].equals(words)
+    counts = Counter(got)
+    ranked = sorted(((w.decode(), n) for w, n in counts.items()), key=lambda x: (-x[1], x[0]))
+    head = [x for i, x in enumerate(ranked) if i < 40 or x[0] in ("", "rare")]
+    monkeypatch.setattr(scoring, "NEURAL", 20)
+    known = scoring.Vocabulary(head, sum(counts.values()), len(counts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for x in scoring.encoded(docs, known).collect():
+        plain = scoring.words_of(texts[x.doc_id])
+        assert len(x.ids) == 2 * len(plain) == 2 * x.n_tokens
+        ids = np.frombuffer(x.ids, "u2").tolist()
+        assert ids == [known.id.get(w, scoring.TAIL) for w in plain] and x.tail == ids.count(scoring.TAIL)
+        assert x.n_known == sum(w in known.count for w in plain)
+        assert {r.token.encode(): r.n for r in x.rest} == Counter(w for w in plain if w not in known.count) and len(x.rest) == len({r.token for r in x.rest})
+        log = {w: math.log10(n + 1) for w, n in known.count.items()}
+        assert x.base == pytest.approx(sum(log.get(w, 0) for w in plain)) and x.tail_base == pytest.approx(sum(log.get(w, 0) for w in plain if known.id.get(w, scoring.TAIL) == scoring.TAIL), abs=1e-9)
+
+
+def test_network_keeps_its_memory_from_window_to_window():
+    import numpy as np
+
+    from gneiss.llm.recurrent import END, Network
+
+    net = Network(np.array([10, 20, *([30] * 40)], float))
+    docs = [np.array([*(2 + (k * 7 + np.arange(90)) % 40), END], "u2") for k in range(40)]
+    net.train(docs[:20], 20)
+    places = {k: v.ctypes.data for k, v in net._kept.items()}
+    net.train(docs[20:], 20)
+    net.score(docs, 20)
+    assert places and {k: net._kept[k].ctypes.data for k in places} == places
+
+
+def test_network_learns_along_the_loss(monkeypatch):
+    """One window's step is Adagrad on the gradient that differences of the loss give, with documents that begin inside the window."""
+    import numpy as np
+
+    from gneiss.llm import recurrent
+    from gneiss.llm.recurrent import RATE, Network
+
+    monkeypatch.setattr(recurrent, "CLIP", 1e9)
+    rng = np.random.default_rng(5)
+    docs = [np.array([*rng.integers(1, 9, n - 1), 0]) for n in (5, 7, 10, 10, 8, 3)]  # 32 for the first stream, 11 for the second
+    net = Network(np.array([5, 5, *([9] * 7)], float), hidden=4)
+    for v in net.p.values():
+        v += rng.normal(0, 0.3, v.shape).astype("f4")
+    start = net.blob()
+    before = {k: v.copy() for k, v in net.p.items()}
+    net.train(docs, 2)
+    steps = {k: (v - net.p[k]) / RATE for k, v in before.items()}
+    for k, step in steps.items():
+        for at in [tuple(rng.integers(0, n) for n in step.shape) for _ in range(8)]:
+            losses = []
+            for bump in (0.02, -0.02):
+                net.load(start)
+                net.p[k][at] += bump
+                losses.append(-net.score(docs).sum() / 2)
+            grad = (losses[0] - losses[1]) / 0.04
+            assert step[at] == pytest.approx(grad / math.sqrt(0.01 + grad**2), abs=0.005), (k, at)
+
+
+def test_network_with_extreme_weights():
+    import numpy as np
+
+    from gneiss.llm.recurrent import Network
+
+    net = Network(np.array([5, 5, *([9] * 12)], float), hidden=4)
+    net.p["u"] *= 2000
+    net.p["wc"] *= 2000
+    rng = np.random.default_rng(2)
+    states, targets = rng.uniform(-1, 1, (50, 4)).astype("f4"), rng.integers(0, 14, 50)
+    p, soft = {k: v.astype("f8") for k, v in net.p.items()}, lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    for h, w, got in zip(states, targets, net.log_probabilities(states, targets), strict=True):
+        c = net.of[w]
+        a, b = net.bounds[c], net.bounds[c + 1]
+        assert got == pytest.approx(soft(h @ p["wc"] + p["bc"])[c] + soft(p["u"][a:b] @ h + p["bu"][a:b])[w - a], rel=1e-3, abs=1e-2)
+    assert np.isfinite(net._output_gradients(states, targets, {})).all()
+
+
 def test_language(spark):
     en = "the cat and the dog were walking through the garden when it rained".split()
     de = "der hund und die katze gingen durch den garten als es regnete und schneite".split()
