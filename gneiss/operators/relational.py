@@ -92,12 +92,36 @@ def changed_symbols(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     return symbols.join(lines, (symbols.file_path == lines.file_path) & lines.line.between(symbols.start_line, symbols.end_line), "left_semi")
 
 
+def _blocks(start: str, end: str) -> Column:
+    """The fewest blocks of 2 ** level lines (level, block) that make up a closed interval of lines."""
+    lo, hi = f"-shiftright(-{start}, l)", f"shiftright({end} + 1, l)"
+    ends = f"filter(array(if({lo} & 1 = 1, struct(l as level, {lo} as block), null), if({hi} & 1 = 1, struct(l as level, {hi} - 1 as block), null)), x -> x is not null)"
+    levels = f"sequence(0, cast(floor(log2(greatest({end} - {start} + 1, 1))) as int))"
+    return F.expr(f"flatten(transform({levels}, l -> if({lo} < {hi}, {ends}, filter(array(struct(l as level, {lo} as block)), x -> false))))")
+
+
 def enclosing_symbols(frames: DataFrame, symbols: DataFrame) -> DataFrame:
-    """For each frame (frame_id, file_path, line) the narrowest symbol around the line, else the file's first."""
-    pairs = frames.join(symbols, "file_path", "left")
-    inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
-    order = [F.coalesce(inside, F.lit(False)).desc(), F.when(inside, F.col("end_line") - F.col("start_line")).asc_nulls_last(), F.col("start_line").asc_nulls_last(), F.col("qualified_name").asc_nulls_last()]
-    return best_per_key(pairs.withColumn("inside", F.coalesce(inside, F.lit(False))), ["frame_id"], order)
+    """For each frame (frame_id, file_path, line) the narrowest symbol around the line, else the file's first.
+
+    A file's frames and symbols are not paired: a symbol is known at the few
+    blocks of lines it is made of, which keep their best symbol only, and a
+    line asks the block of each size that it lies in.
+    """
+    rest = [c for c in symbols.columns if c != "file_path"]
+    asked = frames.select("file_path", F.col("line").cast("long").alias("line")).where("file_path is not null").distinct()
+    own = symbols.join(asked.select("file_path").distinct(), "file_path", "left_semi").select("file_path", F.struct(*rest).alias("symbol"), F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("b"))
+    rank = [F.col("symbol.start_line").isNull().alias("s0"), F.col("symbol.start_line").alias("s1"), F.col("symbol.qualified_name").isNull().alias("q0"), F.col("symbol.qualified_name").alias("q1")]
+    first = own.groupBy("file_path").agg(F.min_by("symbol", F.struct(*rank)).alias("first"))
+    blocks = own.where("a <= b").select("file_path", F.explode(_blocks("a", "b")).alias("x"), F.struct((F.col("b") - F.col("a")).alias("width"), *rank).alias("rank"), "symbol")
+    best = blocks.groupBy("file_path", "x.level", "x.block").agg(F.min("rank").alias("rank"), F.min_by("symbol", "rank").alias("symbol"))
+    sizes = best.groupBy("file_path").agg(F.collect_set("level").alias("levels"))
+    around = asked.where("line is not null").join(sizes, "file_path").select("file_path", "line", F.explode("levels").alias("level")).withColumn("block", F.expr("shiftright(line, level)"))
+    inner = around.join(best, ["file_path", "level", "block"]).groupBy("file_path", "line").agg(F.min_by("symbol", "rank").alias("symbol"))
+    found = frames.withColumn("__line", F.col("line").cast("long")).join(inner.withColumnRenamed("line", "__line"), ["file_path", "__line"], "left").join(first, "file_path", "left")
+    found = found.withColumn("inside", F.col("symbol").isNotNull()).withColumn("symbol", F.coalesce("symbol", "first"))
+    pairs = found.select(*frames.columns, *[F.col(f"symbol.{c}").alias(c) for c in rest], "inside")
+    width = F.when(F.col("inside"), F.col("end_line") - F.col("start_line"))
+    return best_per_key(pairs, ["frame_id"], [F.desc("inside"), width.asc_nulls_last(), F.col("start_line").asc_nulls_last(), F.col("qualified_name").asc_nulls_last()])
 
 
 def neighbour_chunks(seeds: DataFrame, chunks: DataFrame, reach: int, k: int) -> DataFrame:

@@ -1,10 +1,11 @@
 """Work that grows with the input: what is shuffled, and results against plain Python on shapes that are dear for pairs."""
 
+import random
 import re
 
 import pytest
 
-from gneiss.operators import test_finding
+from gneiss.operators import relational, test_finding
 
 
 @pytest.fixture
@@ -52,3 +53,29 @@ def test_tests_by_words_shuffle_no_pairs(spark, shuffled):
     tests = spark.range(300).selectExpr("concat('tests/b', id, '.py') as file_path")
     n, rows = shuffled(lambda: test_finding.by_words(seeds, tests))
     assert len(rows) == 90_000 and n < 10_000
+
+
+def test_enclosing_symbols_equal_all_pairs(spark):
+    dice = random.Random(5)
+    spans = [(None, 4), (3, None), (9, 2), (-8, 3), (0, 0), (1, 1_000_000), (-5, -5), (7, 7), (7, 8)] + [(a, a + dice.randrange(40)) for a in (dice.randrange(-60, 200) for _ in range(150))]
+    symbols = [(f"q{i}" if i % 30 else None, dice.choice("abc"), a, b) for i, (a, b) in enumerate(spans)]
+    frames = [(i, dice.choice(["a", "b", "c", "none", None]), dice.choice([None, *range(-70, 250)])) for i in range(400)] + [(7, "a", 3), (7, "b", 9), (None, "a", 5), (None, "b", 200)]
+    last = lambda x: (x is None, x if x is not None else 0)
+    want = {}
+    for frame, path, line in frames:
+        own = [x for x in symbols if x[1] == path] or [(None, None, None, None)]
+        for q, _, a, b in own:
+            inside = None not in (a, b, line) and a <= line <= b
+            rank = (not inside, b - a if inside else 0, last(a), (q is None, q or ""))
+            want[frame] = min(want.get(frame, (rank, None)), (rank, (q, a, b, inside)), key=lambda x: x[0]) if frame in want else (rank, (q, a, b, inside))
+    f = spark.createDataFrame(frames, "frame_id int, file_path string, line int")
+    got = relational.enclosing_symbols(f, spark.createDataFrame(symbols, "qualified_name string, file_path string, start_line int, end_line int"))
+    rows = got.collect()
+    assert {x.frame_id: (x.qualified_name, x.start_line, x.end_line, x.inside) for x in rows} == {k: v[1] for k, v in want.items()} and len(rows) == len(want)
+
+
+def test_enclosing_symbols_shuffle_no_pairs(spark, shuffled):
+    frames = spark.range(500).selectExpr("id as frame_id", "'a' as file_path", "cast(id as int) as line")
+    symbols = spark.range(500).selectExpr("concat('q', id) as qualified_name", "'a' as file_path", "cast(id as int) as start_line", "cast(id + id % 50 as int) as end_line")
+    n, rows = shuffled(lambda: relational.enclosing_symbols(frames, symbols))
+    assert len(rows) == 500 and n < 20_000
