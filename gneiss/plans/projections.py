@@ -49,23 +49,35 @@ class Tables:
             out = out.unionByName(x)
         return out
 
-    @property
-    def edges(self) -> DataFrame:
-        """source, relation, target: customer calls order, order references part, part uses supplier, and so on up to region."""
+    def _relations(self, once: bool) -> DataFrame:
+        def part(df: DataFrame, prefix: str, key: str, relation: str, other: str, to: str) -> DataFrame:
+            return df.select(F.concat(F.lit(prefix), key).alias("source"), F.lit(relation).alias("relation"), F.concat(F.lit(other), to).alias("target"))
 
-        def part(df: DataFrame, source, relation: str, target) -> DataFrame:
-            return df.select(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target"))
+        def keys(table: str, *names: str) -> DataFrame:
+            return self.raw(table).select(*[F.col(x).cast("long").alias(x) for x in names])
+
+        def pairs(*names: str) -> DataFrame:
+            """Repeats go while they are numbers, which is the least there is to shuffle."""
+            return keys("lineitem", *names).distinct() if once else keys("lineitem", *names)
 
-        node = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("long"))
-        lines = self.raw("lineitem")
         return (
-            part(self.raw("orders"), node("c", "o_custkey"), "CALLS", node("o", "o_orderkey"))
-            .unionByName(part(lines, node("o", "l_orderkey"), "REFERENCES", node("p", "l_partkey")).distinct())
-            .unionByName(part(lines, node("p", "l_partkey"), "USES_SERVICE", node("s", "l_suppkey")).distinct())
-            .unionByName(part(self.raw("supplier"), node("s", "s_suppkey"), "HAS_PROPERTY", node("n", "s_nationkey")))
-            .unionByName(part(self.raw("nation"), node("n", "n_nationkey"), "EXTENDS", node("r", "n_regionkey")))
+            part(keys("orders", "o_custkey", "o_orderkey"), "c", "o_custkey", "CALLS", "o", "o_orderkey")
+            .unionByName(part(pairs("l_orderkey", "l_partkey"), "o", "l_orderkey", "REFERENCES", "p", "l_partkey"))
+            .unionByName(part(pairs("l_partkey", "l_suppkey"), "p", "l_partkey", "USES_SERVICE", "s", "l_suppkey"))
+            .unionByName(part(keys("supplier", "s_suppkey", "s_nationkey"), "s", "s_suppkey", "HAS_PROPERTY", "n", "s_nationkey"))
+            .unionByName(part(keys("nation", "n_nationkey", "n_regionkey"), "n", "n_nationkey", "EXTENDS", "r", "n_regionkey"))
         )
 
+    @property
+    def edges(self) -> DataFrame:
+        """source, relation, target: customer calls order, order references part, part uses supplier, and so on up to region."""
+        return self._relations(once=True)
+
+    @property
+    def links(self) -> DataFrame:
+        """edges, where those of lineitem may stand more than once: for what only asks whether there is an edge."""
+        return self._relations(once=False)
+
     @property
     def event_edges(self) -> DataFrame:
         """Event type to the user's next one: small and cyclic."""
