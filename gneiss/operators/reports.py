@@ -17,7 +17,7 @@ from gneiss.operators.text import diff_lines
 def detect_changes(diffs: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(diff_id, text), symbols and edges -> a row for each touched file: symbols, dependants, hints and risk."""
     lines = diff_lines(diffs).select("file_path", "line")
-    touched = R.changed_symbols(symbols, lines)
+    touched = graph.cut(R.changed_symbols(symbols, lines).select("qualified_name", "file_path"))
     users = edges.join(touched.select(F.col("qualified_name").alias("target"), "file_path"), "target").groupBy("file_path").agg(F.countDistinct("source").alias("n_impacted"))
     counts = touched.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_symbols"))
     files = lines.select("file_path").distinct().join(counts, "file_path", "left").join(users, "file_path", "left").na.fill(0, ["n_symbols", "n_impacted"])
@@ -49,7 +49,7 @@ def suggest_tests(diffs: DataFrame, symbols: DataFrame, edges: DataFrame, k: int
 
 def diff_context(diffs: DataFrame, symbols: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """Touched symbols with their first k callers and callees as text."""
-    touched = R.changed_symbols(symbols, diff_lines(diffs).select("file_path", "line")).select("qualified_name", "file_path")
+    touched = graph.cut(R.changed_symbols(symbols, diff_lines(diffs).select("file_path", "line")).select("qualified_name", "file_path"))  # of a known size, so that edges aren't shuffled for a few symbols
 
     def side(own: str, other: str, name: str) -> DataFrame:
         pairs = edges.join(touched.select(F.col("qualified_name").alias(own)), own, "left_semi").select(F.col(own).alias("qualified_name"), F.col(other).alias("x")).distinct()

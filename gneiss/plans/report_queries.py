@@ -25,7 +25,7 @@ u AS (SELECT file_path, count(DISTINCT source) AS n_impacted FROM touched JOIN e
 FROM (SELECT DISTINCT file_path FROM lines) AS f LEFT JOIN c USING (file_path) LEFT JOIN u USING (file_path)"""))
 def t1_detect_changes(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return reports.detect_changes(_diffs(spark), t.symbols, t.edges)
+    return reports.detect_changes(_diffs(spark), t.symbols, t.links)
 
 
 @query("t4_diff_context", with_tables("symbols edges", _TOUCHED + """,
@@ -34,7 +34,7 @@ b AS (SELECT qualified_name, array_to_string(list_slice(list_sort(list(DISTINCT
 ||select||SELECT qualified_name, file_path, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM touched LEFT JOIN a USING (qualified_name) LEFT JOIN b USING (qualified_name)"""))
 def t4_diff_context(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return reports.diff_context(_diffs(spark), t.symbols, t.edges)
+    return reports.diff_context(_diffs(spark), t.symbols, t.links)
 
 
 @query("t2_change_impact", with_tables("recursive symbols edges", _TOUCHED + """,
