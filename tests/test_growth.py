@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from gneiss.operators import relational, test_finding
+from gneiss.operators import batching, relational, retrieval, test_finding
+from gneiss.operators import text as parsers_text
 
 
 @pytest.fixture
@@ -79,3 +80,47 @@ def test_enclosing_symbols_shuffle_no_pairs(spark, shuffled):
     symbols = spark.range(500).selectExpr("concat('q', id) as qualified_name", "'a' as file_path", "cast(id as int) as start_line", "cast(id + id % 50 as int) as end_line")
     n, rows = shuffled(lambda: relational.enclosing_symbols(frames, symbols))
     assert len(rows) == 500 and n < 20_000
+
+
+def folded(rows, most_rows, most_tokens):
+    """Batches row by row; an unknown number of tokens keeps the sum unknown up to the batch's end."""
+    last = lambda x: (x is None, x if x is not None else 0)
+    out, before = [], ()
+    for g, i, tokens in sorted(rows, key=lambda x: tuple(map(last, x))):
+        if before != (g,):
+            batch, n, t, before = 0, 1, tokens, (g,)
+        elif n >= most_rows or (None not in (t, tokens) and t + tokens > most_tokens):
+            batch, n, t = batch + 1, 1, tokens
+        else:
+            n, t = n + 1, None if None in (t, tokens) else t + tokens
+        out.append((g, i, batch))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [3, 40, 10_000])
+def test_token_batches_over_blocks(spark, monkeypatch, block):
+    dice = random.Random(block)
+    rows = [(g, i, dice.choice([1, 2, 3, 5, 30, 0, None]) if g != "d" else 1) for g in ("a", "b", None, "d") for i in range(dice.randrange(50, 90))] + [("a", None, 2), ("s", 1, 99), ("u", 5, 1), ("u", 5, 1)]
+    monkeypatch.setattr(batching, "BLOCK", block)
+    df = spark.createDataFrame(rows, "g string, id bigint, tokens bigint").repartition(5)
+    assert sorted((tuple(x) for x in batching.token_batches(df, "g", 6, 12).collect()), key=repr) == folded(rows, 6, 12)
+    assert batching.token_batches(df.limit(0), "g", 6, 12).count() == 0
+
+
+def test_diff_lines_of_one_diff_in_rows(spark, shuffled):
+    text = "--- a/x\n+++ b/one.py\n@@ -1,2 +3,3 @@ def f\n+a\n@@ -1 +4,2 @@\n@@ -1 +9,0 @@\n+++ /dev/null\n@@ -1 +1 @@\n+++ two.py\n@@ -5,1 +7 @@" + "\n text" * 50
+    df = spark.range(200).selectExpr("id as diff_id", f"'{text}' as text".replace("\n", "\\n")).union(spark.createDataFrame([(0, text), (500, "@@ -1 +2 @@"), (None, text), (None, None)], "diff_id bigint, text string"))
+    n, rows = shuffled(lambda: parsers_text.diff_lines(df))
+    want = {(i, p, x) for i in [*range(200), None] for p, x in (("one.py", 3), ("one.py", 4), ("one.py", 5), ("two.py", 7))}
+    assert {tuple(x) for x in rows} == want and len(rows) == len(want) and n < 1000
+
+
+def test_near_duplicates_are_sent_to_few_blocks(spark, monkeypatch, shuffled):
+    monkeypatch.setattr(retrieval, "BLOCKS", 3)
+    dice = random.Random(1)
+    chunks = spark.createDataFrame([(i, f"f{i % 3}", [dice.choice([0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(120)], "chunk_id bigint, file_path string, vector array<float>")
+    n, rows = shuffled(lambda: retrieval.near_duplicates(chunks, 0.9, block=5))
+    assert n < 120 * 4
+    monkeypatch.setattr(retrieval, "BLOCKS", 1)
+    whole = retrieval.near_duplicates(chunks, 0.9, block=1000).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, whole)) and rows
