@@ -116,14 +116,23 @@ def stack_frames(traces: DataFrame) -> DataFrame:
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
-    """(diff_id, text) of unified diffs -> diff_id, file_path, line for each line of the new side that a hunk covers."""
-    rows = lines(diffs).withColumn("own", F.nullif(F.regexp_extract("line_text", r"^\+\+\+ (?:b/)?(\S+)", 1), F.lit("")))
-    rows = rows.withColumn("file_path", F.last("own", ignorenulls=True).over(W.partitionBy("diff_id").orderBy("line")))
+    """(diff_id, text) of unified diffs -> diff_id, file_path, line for each line of the new side that a hunk covers.
+
+    A diff is read within its row: what stands between two file headers is
+    that file's, and only hunks leave the row.
+    """
     hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    rows = rows.where(F.col("line_text").rlike(hunk)).select("diff_id", "file_path", F.regexp_extract("line_text", hunk, 1).cast("int").alias("a"), F.regexp_extract("line_text", hunk, 2).alias("c"))
-    count = F.when(F.col("c") == "", 1).otherwise(F.expr("try_cast(c as int)"))
-    rows = rows.where((count > 0) & (F.col("file_path") != "/dev/null"))
-    return rows.select("diff_id", "file_path", F.explode(F.sequence(F.col("a"), F.col("a") + count - 1)).alias("line")).distinct()
+    kept = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\+\+\+ (?:b/)?\S") | x.rlike(hunk))
+    path = lambda x: F.regexp_extract(x, r"^\+\+\+ (?:b/)?(\S+)", 1)
+    count = lambda x: F.when(F.regexp_extract(x, hunk, 2) == "", 1).otherwise(F.regexp_extract(x, hunk, 2).try_cast("int"))
+    empty = F.array().cast("array<struct<file_path:string,a:int,n:int>>")
+    start = F.struct(F.lit(None).cast("string").alias("own"), empty.alias("out"))
+    step = lambda s, x: F.when(x.startswith("+++ "), F.struct(path(x).alias("own"), s["out"].alias("out"))).otherwise(
+        F.struct(s["own"].alias("own"), F.concat(s["out"], F.array(F.struct(s["own"].alias("file_path"), F.regexp_extract(x, hunk, 1).cast("int").alias("a"), count(x).alias("n")))).alias("out"))
+    )
+    rows = diffs.select("diff_id", F.explode(F.array_distinct(F.aggregate(kept, start, step, lambda s: s["out"]))).alias("x")).select("diff_id", "x.*")
+    rows = rows.where("n > 0 and file_path <> '/dev/null'").repartition("diff_id", "file_path")  # hunks move, and repeats of lines go where they meet
+    return rows.select("diff_id", "file_path", F.explode(F.sequence(F.col("a"), F.col("a") + F.col("n") - 1)).alias("line")).distinct()
 
 
 EXPRESS = r"\b(?:app|router)\.(get|post|put|delete|patch|all)\(\s*['\"`]([^'\"`]+)['\"`]"
