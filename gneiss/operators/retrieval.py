@@ -19,8 +19,8 @@ SOURCE_SCORES = {"symbol": 0.34, "regex": 0.24, "graph": 0.22, "vector": 0.18, "
 
 #: Queries that are sent to all tasks at once.
 QUERIES_AT_ONCE = 10_000
-#: Chunks of a block of the similarity self-join.
-BLOCK = 2_000
+#: Chunks that the similarity self-join compares at once, the blocks they are dealt to, and the most of a block.
+BLOCK, BLOCKS, LARGEST = 2_000, 32, 65_536
 
 
 def fuse(frames: Sequence[DataFrame]) -> DataFrame:
@@ -106,25 +106,31 @@ def near_duplicates(chunks: DataFrame, least: float = 0.85, rounding: int = 6, b
     """(chunk_id, file_path, vector) -> unordered pairs of chunks of different files whose cosine is at least least.
 
     Exact: chunks are dealt to blocks by hash, and each pair of blocks is one
-    task with about 2 * block chunks. Chunks without a direction have no copies.
+    task. There are BLOCKS blocks at most, so that a chunk is sent to a fixed
+    number of tasks; only beyond BLOCKS * LARGEST chunks there are more, as a
+    task's memory has its bound. A task compares block chunks with as many at
+    once. Chunks without a direction have no copies.
     """
     valid = chunks.where("chunk_id is not null and file_path is not null and size(vector) > 0 and exists(vector, x -> x <> 0) and not exists(vector, x -> x is null)")
-    blocks = max(1, -(-valid.count() // block))
-    placed = valid.select("chunk_id", "file_path", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("b"))
+    n = valid.count()
+    blocks = max(1, min(-(-n // block), BLOCKS), -(-n // LARGEST))
+    placed = valid.select("chunk_id", "file_path", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("b"))
     other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     tiles = other.select("chunk_id", "file_path", "vector", "dim", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
 
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        unit = np.stack(rows["vector"].to_list())
+        unit = np.stack(rows["vector"].to_list()).astype(float)
         unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         left, right = (np.flatnonzero(rows["b"].to_numpy() == x) for x in (i, j))
-        near = np.round(unit[left] @ unit[right].T, rounding)
-        a, b = np.nonzero(near >= least)
-        similarity, a, b = near[a, b], left[a], right[b]
-        paths, ids = rows["file_path"].to_numpy(), rows["chunk_id"].to_numpy()
-        kept = (paths[a] != paths[b]) & ((a < b) if i == j else True)
-        similarity, a, b = similarity[kept], a[kept], b[kept]
+        paths, ids, found = rows["file_path"].to_numpy(), rows["chunk_id"].to_numpy(), []
+        for x, y in ((left[p : p + block], right[q : q + block]) for p in range(0, len(left), block) for q in range(0, len(right), block)):
+            near = np.round(unit[x] @ unit[y].T, rounding)
+            a, b = np.nonzero(near >= least)
+            similarity, a, b = near[a, b], x[a], y[b]
+            kept = (paths[a] != paths[b]) & ((a < b) if i == j else True)
+            found.append((similarity[kept], a[kept], b[kept]))
+        similarity, a, b = (np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.empty(0), *np.empty((2, 0), int))
         swap = ids[a] > ids[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pd.DataFrame({"left_id": ids[a], "right_id": ids[b], "left_path": paths[a], "right_path": paths[b], "similarity": similarity})
