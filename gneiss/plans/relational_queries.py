@@ -260,7 +260,7 @@ def j10_dead_code(spark, sf_dir):
 def j11_untested(spark, sf_dir):
     t = Tables(spark, sf_dir)
     tests = t.raw("orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("source"))
-    covered = t.edges.join(tests, "source", "left_semi")
+    covered = t.links.select("source", "target").join(tests, "source", "left_semi")
     return R.without(t.symbols.where("kind in ('part', 'supplier')"), covered, "qualified_name", "target").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
